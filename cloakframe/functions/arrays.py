@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BUILT: dict = {}
+
+
+def built_once(key: tuple, build: Callable[[], Column]) -> Column:
+    """Reuse an unresolved expression; building a large one costs a call to the JVM per node."""
+    full = (SparkContext._gateway, *key)
+    if full not in _BUILT:
+        _BUILT[full] = build()
+    return _BUILT[full]
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value to a lambda variable so that the body never re-evaluates it."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule, select_rules, spark_regex
-from ..functions.arrays import last, let, text_slice
+from ..functions.arrays import built_once, last, let, text_slice
 from ..functions.checks import CHECKS
 from . import spans as S
 
@@ -106,8 +106,10 @@ def with_matches(df: DataFrame, text: str = "text", rules: list[Rule] | None = N
         return df.withColumn(out, F.array().cast(_MATCH))
     hits = ", ".join(_hit_sql(r, i, text) for i, r in enumerate(rules))
     found = _with_gates(df, text).withColumn("_hits", F.expr(f"filter(array({hits}), h -> h is not null)"))
-    matches = F.flatten(F.transform(F.col("_hits"), _places))
-    return found.withColumn(out, _checked(matches, rules)).drop("_low", "_hits", *[f"_{name}" for name in _GATES])
+    matches = built_once(
+        ("matches", tuple(rules)), lambda: _checked(F.flatten(F.transform(F.col("_hits"), _places)), rules)
+    )
+    return found.withColumn(out, matches).drop("_low", "_hits", *[f"_{name}" for name in _GATES])
 
 
 def context_before(text: Column, start: Column, words: int) -> Column:
@@ -218,18 +220,27 @@ def with_rule_spans(
     rules = select_rules(entities, rules)
     if not rules:
         return df.withColumn(out, S.no_spans())
-    col = F.col(text)
+    options = (text, tuple(rules), context_words, context_boost, context_floor)
     matched = with_matches(df, text, rules, "_matches")
-    scored = score_in_context(col, F.col("_matches"), rules, context_words, context_boost, context_floor)
-    staged = matched.withColumn("_scored", in_scan_order(scored))
+    scored = built_once(
+        ("scored", *options),
+        lambda: in_scan_order(
+            score_in_context(F.col(text), F.col("_matches"), rules, context_words, context_boost, context_floor)
+        ),
+    )
+    staged = matched.withColumn("_scored", scored)
     if not resolve:
         return staged.withColumn(out, _as_spans(F.col("_scored"))).drop("_matches", "_scored")
-    staged = staged.withColumn("_kept", _keep_best_rules(F.col("_scored")))
-    result = (
-        _as_spans(F.col("_kept")) if trim == "off"
-        else let(F.struct(col.alias("t"), F.col("_kept").alias("k")), lambda b: _trimmed(b["t"], b["k"], rules, trim))
-    )
-    return staged.withColumn(out, result).drop("_matches", "_scored", "_kept")
+    staged = staged.withColumn("_kept", built_once(("kept",), lambda: _keep_best_rules(F.col("_scored"))))
+
+    def result() -> Column:
+        if trim == "off":
+            return _as_spans(F.col("_kept"))
+        bound = F.struct(F.col(text).alias("t"), F.col("_kept").alias("k"))
+        return let(bound, lambda b: _trimmed(b["t"], b["k"], rules, trim))
+
+    spans = built_once(("trimmed", text, trim, tuple(rules)), result)
+    return staged.withColumn(out, spans).drop("_matches", "_scored", "_kept")
 
 
 def check_threshold(threshold: float) -> float:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import crypto
-from ..functions.arrays import let, text_slice
+from ..functions.arrays import built_once, let, text_slice
 from ..functions.text import sanitize
+from ..session import cut_lineage
 from . import detect as D
 from . import spans as S
 from .skew import lookup_join
@@ -67,36 +68,16 @@ def _entities(text: Column, merged: Column) -> Column:
 
 def with_entities(df: DataFrame, text: str = "text", spans: str = "spans", gap: int = 1, out: str = "entities") -> DataFrame:
     """Merge neighbouring spans and give each its value and token."""
-    merged = df.withColumn("_merged", S.merge_near(F.col(spans), gap))
-    return merged.withColumn(out, _entities(F.col(text), F.col("_merged"))).drop("_merged")
+    merged = df.withColumn("_merged", built_once(("merged", spans, gap), lambda: S.merge_near(F.col(spans), gap)))
+    made = built_once(("entities", text), lambda: _entities(F.col(text), F.col("_merged")))
+    return merged.withColumn(out, made).drop("_merged")
 
 
-def with_shared_labels(
-    df: DataFrame, scope: list[str], unit: str, entities: str = "entities", **join_options
-) -> DataFrame:
-    """One token per value over all units of a scope.
+FIXES_IN_MEMORY = 20_000
 
-    The label of a value is the one at its rightmost place in the earliest
-    unit.  Inside a unit that is already so; over units only values seen with
-    two labels need a correction, so only those are looked up.
-    """
-    seen = df.select(*scope, unit, F.explode(entities).alias("e")).select(
-        *scope, unit, F.col("e.value").alias("value"), F.col("e.label").alias("label")
-    )
-    fixes = (
-        seen.groupBy(*scope, "value")
-        .agg(
-            F.min_by("label", F.struct(F.col(unit), F.col("label"))).alias("_label"),
-            F.min("label").alias("_low"), F.max("label").alias("_high"),
-        )
-        .filter(F.col("_low") != F.col("_high"))
-        .select(*scope, "value", "_label")
-    )
-    touched = seen.select(*scope, unit, "value").distinct()
-    changed = lookup_join(touched, fixes, [*scope, "value"], "inner", **join_options)
-    per_unit = changed.groupBy(*scope, unit).agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "_label"))).alias("_fix")
-    )
+
+def _relabelled(entities: str, fix: str) -> Column:
+    """Entities with the labels of a ``value -> label`` map put in, and their tokens."""
 
     def corrected(b: Column) -> Column:
         def one(e: Column) -> Column:
@@ -108,15 +89,62 @@ def with_shared_labels(
 
         return F.transform(b["e"], one)
 
-    joined = df.join(per_unit, [*scope, unit], "left")
-    fixed = F.when(F.col("_fix").isNull(), F.col(entities)).otherwise(
-        let(F.struct(F.col(entities).alias("e"), F.col("_fix").alias("f")), corrected).cast(f"array<{ENTITY}>")
+    return F.when(F.col(fix).isNull(), F.col(entities)).otherwise(
+        let(F.struct(F.col(entities).alias("e"), F.col(fix).alias("f")), corrected).cast(f"array<{ENTITY}>")
+    )
+
+
+def label_conflicts(df: DataFrame, scope: list[str], unit: str, entities: str = "entities") -> DataFrame:
+    """Values of a scope that were seen with more than one label, and the label they must have.
+
+    The label of a value is the one at its rightmost place in the earliest
+    unit.  Inside a unit that is already so, so conflicts only arise between
+    units.  The aggregate combines before its shuffle: a value or scope that
+    holds much of the data costs one row per task.
+    """
+    seen = df.select(*scope, unit, F.explode(entities).alias("e"))
+    return (
+        seen.groupBy(*scope, F.col("e.value").alias("value"))
+        .agg(
+            F.min_by("e.label", F.struct(F.col(unit), F.col("e.label"))).alias("_label"),
+            F.min("e.label").alias("_low"), F.max("e.label").alias("_high"),
+        )
+        .filter(F.col("_low") != F.col("_high"))
+        .select(*scope, "value", "_label")
     )
-    return joined.withColumn(entities, fixed).drop("_fix")
+
+
+def with_shared_labels(
+    df: DataFrame, scope: list[str], unit: str, entities: str = "entities", in_memory: int = FIXES_IN_MEMORY,
+    **join_options,
+) -> DataFrame:
+    """One token per value over all units of a scope.
+
+    Conflicts are computed first and checkpointed.  Without any the rows stay
+    as they are; up to ``in_memory`` of them are broadcast as one map per scope
+    and no text is shuffled; more are joined by (scope, value) with hot keys
+    salted.
+    """
+    fixes = cut_lineage(label_conflicts(df, scope, unit, entities))
+    found = fixes.count()
+    if found == 0:
+        return df
+    entry = F.map_from_entries(F.collect_list(F.struct("value", "_label"))).alias("_fix")
+    if found <= in_memory:
+        joined = df.join(F.broadcast(fixes.groupBy(*scope).agg(entry)), scope, "left")
+        return joined.withColumn(entities, _relabelled(entities, "_fix")).drop("_fix")
+    seen = df.select(*scope, unit, F.explode(F.array_distinct(F.transform(entities, lambda e: e["value"]))).alias("value"))
+    changed = lookup_join(seen, fixes, [*scope, "value"], "inner", **join_options)
+    per_unit = changed.groupBy(*scope, unit).agg(entry)
+    joined = df.join(per_unit, [*scope, unit], "left")
+    return joined.withColumn(entities, _relabelled(entities, "_fix")).drop("_fix")
 
 
 def with_tokenized(df: DataFrame, text: str = "text", entities: str = "entities", out: str = "tokenized") -> DataFrame:
-    return df.withColumn(out, S.splice(F.col(text), F.col(entities), lambda e: e["token"]))
+    spliced = built_once(
+        ("spliced", text, entities), lambda: S.splice(F.col(text), F.col(entities), lambda e: e["token"])
+    )
+    return df.withColumn(out, spliced)
 
 
 def with_encrypted(

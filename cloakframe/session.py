@@ -21,7 +21,7 @@ def local_session(app: str = "cloakframe", cpus: int | None = None, memory: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.files.openCostInBytes", "131072")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .getOrCreate()
     )
