@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BUILT: dict = {}
@@ -28,6 +28,17 @@ def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def exploded(df: DataFrame, columns: list, array, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer add a size test on the array and push it
+    below the step that computes it, which would compute the array twice; the
+    outer form with a test on the element does not.
+    """
+    rows = F.posexplode_outer(array).alias(position, name) if position else F.explode_outer(array).alias(name)
+    return df.select(*columns, rows).filter(F.col(name).isNotNull())
+
+
 def text_slice(text: Column, start: Column, end: Column) -> Column:
     """Characters ``start`` (inclusive) to ``end`` (exclusive), counted in code points."""
     return F.substring(text, start + F.lit(1), end - start)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.arrays import last, let, lines, replace_last, strip
+from ..functions.arrays import exploded, last, let, lines, replace_last, strip
 from ..functions.choice import choose_filled, hash_number, pick_index
 from ..functions.text import record_title, tokens
 from .skew import running_totals
@@ -159,7 +159,7 @@ def examples_of_kind(df: DataFrame, kind: str, doc_id: str, text: str = "text",
     """One example of one kind per document that can give it."""
     parts = with_record_parts(df, doc_id, text, file_name)
     made = let(F.col("_doc"), lambda b: getattr(_Doc(b, seed), kind)(F.lit("only")))
-    return parts.select(doc_id, made.alias("messages")).filter(F.col("messages").isNotNull())
+    return exploded(parts, [doc_id], F.array(made), "messages")
 
 
 def chat_examples(
@@ -190,9 +190,7 @@ def chat_examples(
         return F.concat(F.array(first), F.slice(usable, 1, per_doc - 1)) if per_doc > 1 else F.array(first)
 
     bound = F.struct(F.col("_doc").alias("d"), pool.alias("p"))
-    rows = parts.withColumn("_examples", let(bound, build)).select(
-        doc_id, F.posexplode("_examples").alias("example_no", "e")
-    )
+    rows = exploded(parts.withColumn("_examples", let(bound, build)), [doc_id], "_examples", "e", "example_no")
     return rows.select(
         doc_id, "example_no", F.col("e.kind").alias("kind"), F.col("e.messages").alias("messages")
     )

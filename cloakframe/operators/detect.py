@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule, select_rules, spark_regex
-from ..functions.arrays import built_once, last, let, text_slice
+from ..functions.arrays import built_once, exploded, last, let, text_slice
 from ..functions.checks import CHECKS
 from . import spans as S
 
@@ -267,7 +267,7 @@ def with_model_spans(
 
 def spans_as_rows(df: DataFrame, keys: list[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """One row per span with its text."""
-    rows = df.select(*keys, text, F.posexplode(spans).alias("ordinal", "s"))
+    rows = exploded(df, [*keys, text], spans, "s", "ordinal")
     return rows.select(
         *keys, "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
         F.col("s.label").alias("label"), text_slice(F.col(text), F.col("s.start"), F.col("s.end")).alias("text"),

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import crypto
-from ..functions.arrays import let
+from ..functions.arrays import exploded, let
 from ..functions.text import token_label, tokens
 from .skew import lookup_join
 
 
 def token_places(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Every token of every text with its position among the tokens."""
-    return df.select(*keys, F.posexplode(tokens(F.col(text))).alias("position", "token"))
+    return exploded(df, keys, tokens(F.col(text)), "token", "position")
 
 
 def distinct_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Distinct tokens per row."""
-    return df.select(*keys, F.explode(F.array_distinct(tokens(F.col(text)))).alias("token"))
+    return exploded(df, keys, F.array_distinct(tokens(F.col(text))), "token")
 
 
 def decrypt_rows(rows: DataFrame, key: Column) -> DataFrame:
@@ -84,8 +84,7 @@ def resolve(
         raise ValueError("a session or a dataset column is needed")
     staged = df.withColumn("_wanted", wanted)
     asked = (
-        staged.select(F.col(id).alias("_id"), key.alias("_key"), F.explode("_wanted").alias("token"),
-                      F.array(*scopes).alias("_scopes"))
+        exploded(staged, [F.col(id).alias("_id"), key.alias("_key"), F.array(*scopes).alias("_scopes")], "_wanted", "token")
         .select("_id", "_key", "token", F.inline("_scopes"))
         .filter(F.col("scope_id").isNotNull())
     )
@@ -148,5 +147,5 @@ def audit_rows(
 ) -> DataFrame:
     """One row per distinct token that is in the original and not in the resolved text."""
     shown = F.array_except(tokens(F.col(text)), tokens(F.col(out)))
-    rows = resolved.select(*keys, F.explode(shown).alias("token"))
+    rows = exploded(resolved, keys, shown, "token")
     return rows.select(*keys, token_label(F.col("token")).alias("entity_type"), "token", F.lit(action).alias("action"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog as C
-from ..functions.arrays import let, strip
+from ..functions.arrays import exploded, let, strip
 from ..functions.text import record_keyword
 from .skew import union_all
 
@@ -24,7 +24,7 @@ def chunks(df: DataFrame, source: str, text: str = "text", min_chars: int = C.MI
     parts = F.filter(
         F.transform(F.split(F.col(text), C.RECORD_SEPARATOR, -1), strip), lambda c: F.length(c) > min_chars
     )
-    rows = df.select(F.col(source).cast("string").alias("source"), F.posexplode(parts).alias("chunk_index", "text"))
+    rows = exploded(df, [F.col(source).cast("string").alias("source")], parts, "text", "chunk_index")
     return rows.select(
         F.concat("source", F.lit("_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "source", "chunk_index",
         record_keyword(F.col("text")).alias("record_type"), "text",

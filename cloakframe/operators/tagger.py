@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import exploded, let
 from . import spans as S
 from .detect import MODEL_SOURCE
 from .labels import TAGS, bio_tags, tag_ids, words
@@ -42,7 +42,7 @@ def word_rows(df: DataFrame, row_id: str, text: str = "text", entities: str | No
         return F.transform(b["w"], one)
 
     items = let(F.struct(F.col("_w").alias("w"), F.col("_t").alias("t")), build)
-    return staged.select(row_id, F.inline(items))
+    return exploded(staged, [row_id], items, "w").select(row_id, "w.*")
 
 
 def fit(samples: DataFrame, row_id: str, features: int = 4096, iterations: int = 20) -> PipelineModel:

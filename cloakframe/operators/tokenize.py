@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import crypto
-from ..functions.arrays import built_once, let, text_slice
+from ..functions.arrays import built_once, exploded, let, text_slice
 from ..functions.text import sanitize
 from ..session import cut_lineage
 from . import detect as D
@@ -102,7 +102,7 @@ def label_conflicts(df: DataFrame, scope: list[str], unit: str, entities: str =
     units.  The aggregate combines before its shuffle: a value or scope that
     holds much of the data costs one row per task.
     """
-    seen = df.select(*scope, unit, F.explode(entities).alias("e"))
+    seen = exploded(df, [*scope, unit], entities, "e")
     return (
         seen.groupBy(*scope, F.col("e.value").alias("value"))
         .agg(
@@ -133,7 +133,8 @@ def with_shared_labels(
     if found <= in_memory:
         joined = df.join(F.broadcast(fixes.groupBy(*scope).agg(entry)), scope, "left")
         return joined.withColumn(entities, _relabelled(entities, "_fix")).drop("_fix")
-    seen = df.select(*scope, unit, F.explode(F.array_distinct(F.transform(entities, lambda e: e["value"]))).alias("value"))
+    values = F.array_distinct(F.transform(entities, lambda e: e["value"]))
+    seen = exploded(df, [*scope, unit], values, "value")
     changed = lookup_join(seen, fixes, [*scope, "value"], "inner", **join_options)
     per_unit = changed.groupBy(*scope, unit).agg(entry)
     joined = df.join(per_unit, [*scope, unit], "left")
@@ -204,7 +205,7 @@ def tokenize_messages(df: DataFrame, text: str = "text", **options) -> DataFrame
 
 def token_rows(df: DataFrame, scope: list[str], entities: str = "entities") -> DataFrame:
     """Distinct (scope, token, value, label) of tokenized rows."""
-    rows = df.select(*scope, F.explode(entities).alias("e"))
+    rows = exploded(df, scope, entities, "e")
     return rows.select(
         *scope, F.col("e.token").alias("token"), F.col("e.value").alias("value"), F.col("e.label").alias("label")
     ).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import crypto
-from ..functions.arrays import text_slice
+from ..functions.arrays import exploded
 from ..operators import detect as D
 from ..operators import spans as S
 from ..operators import tagger as TG
@@ -19,7 +19,8 @@ DOCS = "SELECT doc_id AS id, text FROM documents"
 
 
 def entity_source(expression: str, extra: str = "") -> str:
-    return f"SELECT c_custkey AS id, {X.sql_newlines(expression)} AS text{extra} FROM customer"
+    numbers = X.NUMBERS.replace("{customer}", "customer")
+    return f"SELECT c_custkey AS id, {X.flat(X.sql_newlines(expression))} AS text{extra} FROM ({numbers})"
 
 
 ALL = entity_source(X.ALL_TEXT)
@@ -32,9 +33,9 @@ def span_rows(df, spans="spans"):
 
 
 def match_rows(df, rules):
-    labels = F.array(*[F.lit(r.entity) for r in rules])
-    names = F.array(*[F.lit(r.name) for r in rules])
-    rows = df.select("id", F.explode("matches").alias("m"))
+    labels = F.expr("array(" + ", ".join(f"'{r.entity}'" for r in rules) + ")")
+    names = F.expr("array(" + ", ".join(f"'{r.name}'" for r in rules) + ")")
+    rows = exploded(df, ["id"], "matches", "m")
     return rows.select(
         "id", F.get(labels, F.col("m.rule")).alias("label"), F.get(names, F.col("m.rule")).alias("pattern"),
         F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.hit").alias("value"))
@@ -88,10 +89,10 @@ PIECE_LABEL = "CASE WHEN regexp_matches(v, '^[A-Z]') THEN 'PER' WHEN length(v) >
 PIECE_SCORE = "round(0.5 + length(v) / 25.0, 4)"
 PIECES_SQL = (
     Q.all_places("text", r"\S+", f"({DOCS})") +
-    f", pieces AS (SELECT id, i, s, CAST(s + length(v) AS INTEGER) AS e, {PIECE_LABEL} AS label, CAST({PIECE_SCORE} AS DOUBLE) AS score FROM found)"
+    f", words_of AS (SELECT id, i, s, CAST(s + length(v) AS INTEGER) AS e, {PIECE_LABEL} AS label, CAST({PIECE_SCORE} AS DOUBLE) AS score FROM found)"
 )
 JOINED_SQL = PIECES_SQL + """, runs AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (
-  SELECT *, CASE WHEN label = lag(label) OVER w AND s <= lag(e) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM pieces
+  SELECT *, CASE WHEN label = lag(label) OVER w AND s <= lag(e) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM words_of
   WINDOW w AS (PARTITION BY id ORDER BY i))),
 model AS (SELECT id, min(s) AS s, max(e) AS e, first(label) AS label, max(score) AS score FROM runs GROUP BY id, run)"""
 
@@ -107,7 +108,7 @@ def with_pieces(df):
 
 
 def short_rows(df, spans):
-    return df.select("id", F.explode(spans).alias("s")).select(
+    return exploded(df, ["id"], spans, "s").select(
         "id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.label").alias("label"),
         F.round("s.score", 4).alias("score"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread
+from . import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +56,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_texts(spark: SparkSession, folder: str, expression: str, *more: str) -> DataFrame:
-    rows = table(spark, folder, "customer").selectExpr("c_custkey as id", f"{expression} as text", *more)
+    rows = rel(spark, folder, texts.NUMBERS).selectExpr("c_custkey as id", f"{texts.flat(expression)} as text", *more)
     return spread(rows)
 
 

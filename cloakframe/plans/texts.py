@@ -7,16 +7,19 @@ near misses made of a customer's own numbers.
 from __future__ import annotations
 
 K = "c_custkey"
-D4 = f"lpad(cast({K} % 10000 as string), 4, '0')"
-D6 = f"lpad(cast(({K} * 7919 + 100003) % 1000000 as string), 6, '0')"
-D7 = f"lpad(cast(({K} * 7919 + 1234567) % 10000000 as string), 7, '0')"
-D8 = f"lpad(cast(({K} * 7919 + 12345678) % 100000000 as string), 8, '0')"
-D9 = f"('4' || {D8})"
-D10 = f"('9434765' || lpad(cast({K} % 1000 as string), 3, '0'))"
-HEX = f"md5(cast({K} as string))"
-UP = f"upper(substr({HEX}, 1, 8))"
-VIN = f"upper(translate(substr({HEX}, 1, 17), 'ioq', 'jpr'))"
-LET = f"translate(substr({HEX}, 1, 6), '0123456789', 'ghjkmnprst')"
+D4, D6, D7, D8, D9, D10 = "d4", "d6", "d7", "d8", "d9", "d10"
+HEX, UP, VIN, LET = "hex", "up", "vin", "let"
+
+# A customer's numbers as columns; texts are then flat concatenations of them.
+NUMBERS = f"""SELECT c_custkey, c_nationkey, d4, d6, d7, d8, '4' || d8 AS d9, d10, hex,
+  upper(substr(hex, 1, 8)) AS up, upper(translate(substr(hex, 1, 17), 'ioq', 'jpr')) AS vin,
+  translate(substr(hex, 1, 6), '0123456789', 'ghjkmnprst') AS let
+FROM (SELECT c_custkey, c_nationkey, lpad(cast({K} % 10000 as string), 4, '0') AS d4,
+  lpad(cast(({K} * 7919 + 100003) % 1000000 as string), 6, '0') AS d6,
+  lpad(cast(({K} * 7919 + 1234567) % 10000000 as string), 7, '0') AS d7,
+  lpad(cast(({K} * 7919 + 12345678) % 100000000 as string), 8, '0') AS d8,
+  '9434765' || lpad(cast({K} % 1000 as string), 3, '0') AS d10,
+  md5(cast({K} as string)) AS hex FROM {{customer}})"""
 
 ENTITY_TEXT: dict[str, str] = {
     "PROJECT_ID": f"'research PROJ-' || {D4} || ' beside PROJ-' || substr({D4}, 1, 3) || ' é PROJ-' || {D4} || '.'",
@@ -58,8 +61,15 @@ ENTITY_TEXT: dict[str, str] = {
     "MEDICAL_LICENSE": f"'dea AB' || {D7} || ' or AB1234563 or ZZ' || {D7}",
 }
 
+
+
+def flat(pieces: str) -> str:
+    """A chain of ``||`` as one ``concat``."""
+    return "concat(" + pieces.replace(" || ", ", ") + ")"
+
+
 # One text per customer with every entity on its own line.
-ALL_TEXT = " || ' ;\n' || ".join(f"({t})" for t in ENTITY_TEXT.values())
+ALL_TEXT = " || ' ;\n' || ".join(ENTITY_TEXT.values())
 
 
 def sql_newlines(expr: str) -> str:
