@@ -205,7 +205,9 @@ tokens AS (SELECT id, scope, s, e, value, {Q.token('label', 'value')} AS token F
   SELECT *, first_value(own) OVER (PARTITION BY scope, value ORDER BY id, s DESC) AS label FROM valued)), {Q.spliced()}"""
 query("tokenize_shared_scope", f"WITH {SCOPED} SELECT id, tokenized FROM spliced")(
     lambda s, d: T.tokenize(customer_texts(s, d, X.ALL_TEXT, "c_nationkey as scope"), scope=["scope"], unit="id").select("id", "tokenized"))
-query("label_conflicts", f"WITH {SCOPED} SELECT scope, value, first(own ORDER BY id, s DESC) AS label FROM valued GROUP BY 1, 2 HAVING count(DISTINCT own) > 1")(
+query("label_conflicts", f"""WITH {SCOPED}, per_unit AS (SELECT DISTINCT scope, id, value,
+  last_value(own) OVER (PARTITION BY id, value ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label FROM valued)
+SELECT scope, value, first(label ORDER BY id) AS label FROM per_unit GROUP BY 1, 2 HAVING count(DISTINCT label) > 1""")(
     lambda s, d: T.label_conflicts(
         T.with_entities(D.with_rule_spans(customer_texts(s, d, X.ALL_TEXT, "c_nationkey as scope"))), ["scope"], "id"
     ).withColumnRenamed("_label", "label"))
