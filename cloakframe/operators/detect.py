@@ -279,6 +279,6 @@ def report(span_rows: DataFrame) -> DataFrame:
     """Spans per label and source with count, mean and best score."""
     return span_rows.groupBy("label", "source").agg(
         F.count(F.lit(1)).alias("n"),
-        F.format_string("%.2f", F.avg("score")).alias("mean_score"),
+        F.format_string("%.4f", F.avg("score")).alias("mean_score"),
         F.format_string("%.4f", F.max("score")).alias("best_score"),
     )

@@ -81,7 +81,7 @@ query("resolve_overlaps", f"WITH {Q.detection(C.CATALOGUE, DOCS)} {SPAN_SQL} FRO
     lambda s, d: span_rows(D.with_rule_spans(documents(s, d))))
 
 query("detection_report", f"WITH {Q.detection(C.CATALOGUE, ALL)} SELECT label, src_name AS source, count(*) AS n, "
-      "printf('%.2f', avg(score)) AS mean_score, printf('%.4f', max(score)) AS best_score FROM spans GROUP BY 1, 2")(
+      "printf('%.4f', avg(score)) AS mean_score, printf('%.4f', max(score)) AS best_score FROM spans GROUP BY 1, 2")(
     lambda s, d: D.report(D.spans_as_rows(D.with_rule_spans(customer_texts(s, d, X.ALL_TEXT)), ["id"])))
 
 # Model pieces: every word of a document; runs of equal case pattern share a label.
