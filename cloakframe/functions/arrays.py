@@ -39,6 +39,49 @@ def exploded(df: DataFrame, columns: list, array, name: str, position: str | Non
     return df.select(*columns, rows).filter(F.col(name).isNotNull())
 
 
+PLACES = "array<struct<start:int,end:int,hit:string>>"
+_BLOCK = 128
+
+
+def places(hits: Column, gaps: Column) -> Column:
+    """Offsets of pieces from the texts between them, as ``array<struct<start,end,hit>>``.
+
+    A fold copies its result at every step, so it runs over blocks of 128
+    pieces; the offsets of the blocks are summed first.  Long texts stay linear.
+    """
+
+    def fold(items: Column, first: Column) -> Column:
+        def step(acc: Column, pair: Column) -> Column:
+            start = acc["pos"] + F.length(pair["gap"])
+            end = start + F.length(pair["hit"])
+            place = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
+            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(place)).alias("out"))
+
+        empty = F.struct(first.alias("pos"), F.array().cast(PLACES).alias("out"))
+        return F.aggregate(items, empty, step)["out"]
+
+    def size_of(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"]))
+
+    def blocked(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+        def put(bound: Column) -> Column:
+            return F.flatten(F.transform(bound["blocks"], lambda block, i: fold(block, F.get(bound["firsts"], i))))
+
+        def with_firsts(made: Column) -> Column:
+            firsts = F.aggregate(
+                made, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(last(acc) + size_of(block)))
+            )
+            return let(F.struct(made.alias("blocks"), firsts.alias("firsts")), put)
+
+        return F.when(F.size(pairs) <= _BLOCK, fold(pairs, F.lit(0))).otherwise(let(blocks, with_firsts))
+
+    zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
+    return let(zipped, blocked)
+
+
 def text_slice(text: Column, start: Column, end: Column) -> Column:
     """Characters ``start`` (inclusive) to ``end`` (exclusive), counted in code points."""
     return F.substring(text, start + F.lit(1), end - start)

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule, select_rules, spark_regex
-from ..functions.arrays import built_once, exploded, last, let, text_slice
+from ..functions.arrays import built_once, exploded, last, let, places, text_slice
 from ..functions.checks import CHECKS
 from . import spans as S
 
 RULE_SOURCE = "RULE"
 MODEL_SOURCE = "AI_MODEL"
 
-_PLACE = "struct<pos:int,out:array<struct<start:int,end:int,hit:string>>>"
 _MATCH = "array<struct<start:int,end:int,hit:string,rule:int>>"
 # Plain character runs tested once per text; a rule whose run is absent is not tried.
 _GATES = {
@@ -62,16 +61,7 @@ def _hit_sql(rule: Rule, index: int, text: str) -> str:
 
 def _places(hit: Column) -> Column:
     """Offsets of one rule's matches from the texts between them."""
-    pairs = F.arrays_zip(hit["hit"].alias("hit"), F.slice(hit["gap"], F.lit(1), F.size(hit["hit"])).alias("gap"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["pos"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        place = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(place)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(_PLACE)
-    placed = F.aggregate(pairs, start, step)["out"]
+    placed = places(hit["hit"], hit["gap"])
     return F.transform(
         placed,
         lambda p: F.struct(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.arrays import last, let, replace_last
+from ..functions.arrays import last, let, places, replace_last
 from ..functions.choice import hash_number
 
 TAGS: list[str] = ["O"] + [f"{side}-{label}" for label in C.TAG_LABELS for side in ("B", "I")]
@@ -18,22 +18,8 @@ def words(text: Column) -> Column:
     parts = F.struct(
         F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("w"), F.split(text, r"\S+", -1).alias("g")
     )
-    empty = F.struct(F.lit(0).alias("pos"), F.array().alias("out")).cast(
-        "struct<pos:int,out:array<struct<start:int,end:int,word:string>>>"
-    )
-
-    def place(b: Column) -> Column:
-        pairs = F.arrays_zip(b["w"].alias("w"), F.slice(b["g"], F.lit(1), F.size(b["w"])).alias("g"))
-
-        def step(acc: Column, p: Column) -> Column:
-            start = acc["pos"] + F.length(p["g"])
-            end = start + F.length(p["w"])
-            item = F.struct(start.alias("start"), end.alias("end"), p["w"].alias("word"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-        return F.aggregate(pairs, empty, step)["out"]
-
-    return let(parts, place)
+    found = let(parts, lambda b: places(b["w"], b["g"]))
+    return found.cast("array<struct<start:int,end:int,word:string>>")
 
 
 def bio_tags(word_spans: Column, entities: Column) -> Column:

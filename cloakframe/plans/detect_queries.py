@@ -233,7 +233,7 @@ p AS (SELECT source, units, CAST(chars AS BIGINT) AS chars, coalesce(replacement
 SELECT * FROM p UNION ALL SELECT NULL, CAST(sum(units) AS BIGINT), CAST(sum(chars) AS BIGINT), CAST(sum(replacements) AS BIGINT), CAST(sum(unique_values) AS BIGINT) FROM p""")(
     lambda s, d: T.run_statistics(T.tokenize(documents(s, d)), ["source"]))
 
-MESSAGE = "'[' || role || '] ' || text || ' reach ' || role || conv_id || '@example.org, SSN 123-45-' || lpad(cast(1000 + turn as string), 4, '0') || '  '"
+MESSAGE = "'[' || conv_id || '] ' || text || ' reach ' || role || conv_id || '@example.org, SSN 123-45-' || lpad(cast(1000 + turn as string), 4, '0') || '  '"
 _CLEAN = f"regexp_replace(regexp_replace({MESSAGE}, " + r"'[\[\]\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g')"
 query("tokenize_messages", "WITH " + Q.tokenization(C.CATALOGUE, f"SELECT conv_id * 1000 + turn AS id, {_CLEAN} AS text FROM conversations") +
       " SELECT id, tokenized FROM spliced")(

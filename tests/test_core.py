@@ -145,6 +145,20 @@ def test_accents_are_word_characters(spark):
     assert [(s.start, s.end) for s in got] == [(14, 23)]
 
 
+def test_accents_are_outside_ascii_classes(spark):
+    df = spark.createDataFrame([("user Laciónos boñ",), ("user Lacion bon",)], "text string")
+    got = [[s.label for s in r.spans] for r in D.with_rule_spans(df, entities=["USERNAME"]).collect()]
+    assert got == [[], ["USERNAME"]]
+
+
+def test_places_over_many_blocks(spark):
+    from cloakframe.operators.labels import words
+
+    text = " ".join(f"w{i}é" for i in range(1000))
+    got = spark.createDataFrame([(text,)], "text string").select(words(F.col("text")).alias("w")).first().w
+    assert len(got) == 1000 and all(text[w.start:w.end] == w.word == f"w{i}é" for i, w in enumerate(got))
+
+
 def test_check_digits(spark):
     rows = [("luhn", "4111 1111 1111 1111", True), ("luhn", "4111 1111 1111 1112", False),
             ("mod97", "GB82WEST12345698765432", True), ("mod97", "GB82WEST12345698765433", False),
