@@ -135,7 +135,7 @@ def _first_pass(docs: DataFrame, buckets: int) -> DataFrame:
                     if edge[k] < edge[k + 1]:
                         s = slice(edge[k], edge[k + 1])
                         yield C.columns_batch(bucket=np.array([k], np.int32), kind=np.array([kind], np.int8), sid=np.array([0], np.int64), tie=np.array([0], np.int32),
-                                              grams=pa.array([g[s].tobytes()], pa.binary()), entries=pa.array([_pack(e[s]) if kind == 0 else b""], pa.binary()))
+                                              grams=pa.array([g[s].tobytes()], pa.binary()), entries=pa.array([C.squeezed(_pack(e[s])) if kind == 0 else b""], pa.binary()))
 
     def meet(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind").combine_chunks())
@@ -143,7 +143,7 @@ def _first_pass(docs: DataFrame, buckets: int) -> DataFrame:
         single = [i for i in np.flatnonzero(kind == 0)]
         h = np.frombuffer(b"".join(grams[i] for i in single), np.uint64)
         known = np.frombuffer(b"".join(grams[i] for i in np.flatnonzero(kind == 2)), np.uint64)
-        entries = np.concatenate([_unpack(blobs[i]) for i in single]) if single else np.empty(0, ENTRY)
+        entries = np.concatenate([_unpack(C.restored(blobs[i])) for i in single]) if single else np.empty(0, ENTRY)
         both = np.concatenate([h, known])
         order = np.argsort(both)
         same = both[order[1:]] == both[order[:-1]]
@@ -300,7 +300,7 @@ def _second_pass(joined: DataFrame, buckets: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         for a, b in zip(edge, np.append(edge[1:], len(keys))):
             shared, rest = front_code(keys[a:b])
-            yield row([where[a]], [0], [0], [0], [shared], [rest], [_pack(entries[a:b])])
+            yield row([where[a]], [0], [0], [0], [shared], [C.squeezed(rest)], [C.squeezed(_pack(entries[a:b]))])
 
     def split(batches):
         keys, entries, size = [], [], 0
@@ -324,8 +324,8 @@ def _second_pass(joined: DataFrame, buckets: int) -> DataFrame:
         kind = np.asarray(table.column("kind").combine_chunks())
         runs = [i for i in np.flatnonzero(kind == 0)]
         shared, rest, blobs = (table.column(c).to_pylist() for c in ("shared", "rest", "entries"))
-        lists = [_unpack(blobs[i]) for i in runs]
-        keys, prefix, source = merge_runs([_decoded(shared[i], rest[i]) for i in runs])
+        lists = [_unpack(C.restored(blobs[i])) for i in runs]
+        keys, prefix, source = merge_runs([_decoded(shared[i], C.restored(rest[i])) for i in runs])
         passed = table.filter(pa.array(kind == 1)).select(["sid", "tie", "entries"])
         kinds = pa.schema([("sid", pa.int64()), ("tie", pa.int32()), ("entries", pa.binary())])
         if not keys:
