@@ -1,16 +1,18 @@
 """Jaccard join on three-word shingles, size-aware (operator 10).
 
 Documents with equal sets are one class.  A small set lists its subsets of each
-size that a partner would have to share; a large set lists the first tokens of
-its prefix, rare tokens first, and meets others in inverted lists.  The boundary
-is where subsets stop being cheaper than scanned lists.  Members of a list are
-linked if bitmaps allow the similarity, which gives candidate groups; inside
-those, sets are compared exactly, in pairs of bounded blocks, and a set already
-reached is not compared again.
+size that a partner would have to share.  A large set is cut by hash into one
+block of tokens more than it may differ from a partner in tokens, so that some
+block is whole in both, and meets others in the inverted lists of its blocks.
+The boundary is where the measured sizes make the sum of keys smallest.
+Members of a list are candidates; inside groups of candidates sets are compared
+exactly, in pairs of bounded blocks, and a set already reached is not compared
+again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import combinations
 from math import comb
 
@@ -23,9 +25,6 @@ from . import common as C
 from .components import connected_components
 
 PERCENT = 90
-BITS = 512
-LOCAL = 4  # a token in so many sets of a batch counts as frequent there
-FREQUENT = 50_000  # frequent tokens known to every task; they only set the order of tokens
 LARGEST_LIGHT = 64  # the boundary is looked for up to this size
 BLOCK = 1500  # sets of a block when a group is compared
 _FIRST = -(1 << 63)
@@ -40,8 +39,29 @@ def smallest_partner(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix_size(n: int) -> int:
-    return n - smallest_partner(n) + 1
+def _levels(limit: int) -> list[int]:
+    """First size of each level; partners are of one level or of neighbouring ones."""
+    out = [1]
+    while out[-1] <= limit:
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // PERCENT)))
+    return out
+
+
+LEVELS = _levels(1 << 40)
+
+
+def block_counts(n: int) -> list[tuple[int, int]]:
+    """(scheme, blocks) under which a set of size n is listed.
+
+    Scheme ``u`` serves pairs of level ``u`` with itself and the level below;
+    it has a block more than such sets may differ in tokens.
+    """
+    level = bisect_right(LEVELS, n) - 1
+    out = []
+    for u in (level, level + 1):
+        largest = 2 * (LEVELS[u + 1] - 1)
+        out.append((u, largest * (100 - PERCENT) // (100 + PERCENT) + 1))
+    return out
 
 
 def subset_sizes(n: int) -> list[int]:
@@ -53,14 +73,19 @@ def light_cost(n: int) -> int:
     return sum(comb(n, c) for c in subset_sizes(n))
 
 
-def boundary(list_length: float) -> int:
-    """The largest size up to which every set is cheaper by its subsets than by scanning its lists."""
-    best = 0
-    for n in range(1, LARGEST_LIGHT + 1):
-        if light_cost(n) > prefix_size(n) * (1 + list_length):
-            break
-        best = n
-    return best
+def boundary(sizes: dict[int, int]) -> int:
+    """The largest small size, chosen by cost: the number of keys that sets of these sizes make.
+
+    Large sets only just above the boundary can meet small ones, so sets from
+    there down to the smallest partner make both kinds of keys.
+    """
+
+    def cost(limit: int) -> int:
+        light = sum(k * light_cost(n) for n, k in sizes.items() if n <= limit)
+        return light + sum(k * sum(c for _, c in block_counts(n)) for n, k in sizes.items() if 100 * n > PERCENT * limit)
+
+    small = [n for n in range(1, LARGEST_LIGHT + 1) if light_cost(n) <= 1000]
+    return min(small, key=lambda n: (cost(n), n))
 
 
 # --- sets of a chunk ---------------------------------------------------------------------------------------------
@@ -92,12 +117,6 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(C.mix(tokens).sum(dtype=np.uint64).view(np.int64)), int(C.mix(tokens ^ np.uint64(C._ODD)).sum(dtype=np.uint64).view(np.int64))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that fall on each bit: two sets differ in at least as many tokens as bits."""
-    bits = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
 def light_keys(tokens: np.ndarray) -> np.ndarray:
     """Hashes of all subsets of the needed sizes; a subset is what is left when some tokens go."""
     total, out = tokens.sum(dtype=np.uint64), []
@@ -113,15 +132,17 @@ def light_keys(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first tokens: infrequent ones by hash, then frequent ones."""
-    return np.concatenate([tokens[~frequent], tokens[frequent]])[: prefix_size(len(tokens))]
-
-
-def _is_member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(values), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+def heavy_keys(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of the blocks of tokens under both schemes."""
+    mixed, out = C.mix(tokens + np.uint64(C._ODD)), []
+    for scheme, blocks in block_counts(len(tokens)):
+        part = ((tokens >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(part)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
+        edge = np.searchsorted(part[order], np.arange(blocks + 1))
+        names = C.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((scheme * C._BASE) & (2**64 - 1)))
+        out.append(C.mix(sums[edge[1:]] - sums[edge[:-1]] + names))
+    return np.concatenate(out)
 
 
 def _sets(batch, column: int):
@@ -131,124 +152,81 @@ def _sets(batch, column: int):
 
 # --- passes ------------------------------------------------------------------------------------------------------
 
-_FACTS = "kind int, key long, n long, doc_id long, tie int, s1 long, s2 long, bits binary"
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))
 
 
 def _facts(keyed: DataFrame) -> DataFrame:
-    """Documents with size and signature (kind 0), frequent tokens of a batch (1), squares and sum of counts (2)."""
+    """Size and signature of every document's set."""
 
     def work(batches):
         for batch in batches:
-            ids, ties, n, s1, s2, bits, tokens = batch.column(0), batch.column(1), [], [], [], [], []
-            for _, mine in _sets(batch, 2):
-                sig = signature(mine)
-                n.append(len(mine))
-                s1.append(sig[0])
-                s2.append(sig[1])
-                bits.append(bitmap(mine) if len(mine) else b"")
-                tokens.append(mine)
-            rows = len(n)
-            zeros = np.zeros(rows, np.int64)
-            yield C.columns_batch(kind=np.zeros(rows, np.int32), key=zeros, n=pa.array(n, pa.int64()), doc_id=ids, tie=ties, s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()), bits=pa.array(bits, pa.binary()))
-            found, counts = np.unique(np.concatenate(tokens), return_counts=True) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = counts >= LOCAL
-            key = np.concatenate([found[often].view(np.int64), [0, 1]])
-            sums = np.concatenate([counts[often], [(counts.astype(float) ** 2).sum(), counts.sum()]]).astype(np.int64)
-            kind = np.concatenate([np.ones(often.sum(), np.int32), np.full(2, 2, np.int32)])
-            none = np.zeros(len(key), np.int64)
-            yield C.columns_batch(kind=kind, key=key, n=sums, doc_id=none, tie=none.astype(np.int32), s1=none, s2=none, bits=pa.array([b""] * len(key), pa.binary()))
-
-    return keyed.mapInArrow(work, _FACTS)
-
-
-def _packed_rows(buckets: int, where: np.ndarray, fields: list[np.ndarray]):
-    """One row per bucket, each field one after the other."""
-    order = np.argsort(where, kind="stable")
-    edge = np.searchsorted(where[order], np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(edge))
-    blobs = [b"".join(np.ascontiguousarray(f[order[edge[k] : edge[k + 1]]]).tobytes() for f in fields) for k in used]
-    return used, blobs
-
-
-def _postings(keyed: DataFrame, limit: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, postings): key, class and size, each class once per batch."""
+            found = [(len(tokens), *signature(tokens)) for _, tokens in _sets(batch, 2)]
+            n, s1, s2 = zip(*found) if found else ((), (), ())
+            yield C.columns_batch(doc_id=batch.column(0), tie=batch.column(1), n=pa.array(n, pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()))
+
+    return keyed.mapInArrow(work, "doc_id long, tie int, n long, s1 long, s2 long")
+
+
+def _packed(keys: np.ndarray, owners: np.ndarray) -> bytes:
+    """48 bits of each key, and the owners with how many keys in a row each has."""
+    edge = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+    counts = np.diff(np.append(edge, len(keys))).astype(np.uint32)
+    head = np.array([len(keys), len(edge)], np.uint32)
+    parts = [head, keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16), owners[edge], counts]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(blob, np.uint32, 2).tolist()
+    keys = np.frombuffer(blob, np.uint32, n, 8).astype(np.uint64)
+    keys |= np.frombuffer(blob, np.uint16, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32)
+    owners = np.frombuffer(blob, np.int64, m, 8 + 6 * n)
+    return keys, np.repeat(owners, np.frombuffer(blob, np.uint32, m, 8 + 6 * n + 8 * m))
+
+
+def _postings(keyed: DataFrame, limit: int, buckets: int) -> DataFrame:
+    """(bucket, postings): keys and classes, each class once per batch."""
 
     def work(batches):
         for batch in batches:
-            keys, owners, sizes, seen = [], [], [], set()
+            keys, owners, seen = [], [], set()
             for _, tokens in _sets(batch, 2):
-                n = len(tokens)
-                if not n:
-                    continue
-                sig = signature(tokens)
-                if sig in seen:
+                sig = signature(tokens) if len(tokens) else None
+                if sig is None or sig in seen:
                     continue
                 seen.add(sig)
-                mine = [light_keys(tokens)] if n <= limit else []
-                if 100 * n > PERCENT * limit:
-                    mine.append(heavy_keys(tokens, _is_member(frequent, tokens)))
-                mine = np.concatenate(mine)
-                keys.append(mine)
-                owners.append(np.full(len(mine), sig[0], np.int64))
-                sizes.append(np.full(len(mine), n, np.int32))
+                if len(tokens) <= limit:
+                    keys.append(light_keys(tokens))
+                    owners.append(np.full(len(keys[-1]), sig[0], np.int64))
+                if 100 * len(tokens) > PERCENT * limit:
+                    keys.append(heavy_keys(tokens))
+                    owners.append(np.full(len(keys[-1]), sig[0], np.int64))
             if keys:
-                keys = np.concatenate(keys)
-                where = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                used, blobs = _packed_rows(buckets, where, [keys, np.concatenate(owners), np.concatenate(sizes)])
+                keys, owners = np.concatenate(keys), np.concatenate(owners)
+                where = ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                keys, owners = keys[order], owners[order]
+                edge = np.searchsorted(where[order], np.arange(buckets + 1))
+                used = np.flatnonzero(np.diff(edge))
+                blobs = [_packed(keys[edge[k] : edge[k + 1]], owners[edge[k] : edge[k + 1]]) for k in used]
                 yield C.columns_batch(bucket=used.astype(np.int32), postings=pa.array(blobs, pa.binary()))
 
     return keyed.mapInArrow(work, "bucket int, postings binary")
 
 
-def _unpacked(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for i, k in enumerate(kinds):
-            out[i].append(np.frombuffer(blob, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds)]
-
-
-def _company(table: pa.Table) -> pa.Table:
-    """(class, keys): the keys under which a class meets another one of a size that could fit."""
-    keys, owners, sizes = _unpacked(table.column("postings").to_pylist(), [np.uint64, np.int64, np.int32])
-    order = np.lexsort((owners, sizes, keys))
-    keys, owners, sizes = keys[order], owners[order], sizes[order].astype(np.int64)
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]) if len(keys) else np.empty(0, bool)
-    keys, owners, sizes = keys[new], owners[new], sizes[new]
-    fits = (keys[1:] == keys[:-1]) & (100 * sizes[:-1] >= PERCENT * sizes[1:])
-    keep = np.concatenate([[False], fits]) | np.concatenate([fits, [False]]) if len(keys) else np.empty(0, bool)
-    keys, owners = keys[keep], owners[keep]
-    order = np.argsort(owners, kind="stable")
+def _candidates(table: pa.Table) -> pa.Table:
+    """Edges that hold the classes of each list together: all to the smallest."""
+    found = [_unpacked(b) for b in table.column("postings").to_pylist()]
+    keys, owners = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]
-    edge = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.empty(0, np.int64)
-    blobs = [keys[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(keys)))]
-    return pa.table({"s1": pa.array(owners[edge], pa.int64()), "keys": pa.array(blobs, pa.binary())})
-
-
-def _meetings(met: DataFrame, buckets: int) -> DataFrame:
-    """Postings of the classes that meet others, now with their bitmaps."""
-
-    def work(batches):
-        for batch in batches:
-            blobs = batch.column(2).to_pylist()
-            counts = [len(b) // 8 for b in blobs]
-            keys = np.frombuffer(b"".join(blobs), np.uint64)
-            owner = np.repeat(np.asarray(batch.column(0)), counts)
-            size = np.repeat(np.asarray(batch.column(1)), counts).astype(np.int32)
-            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)[np.repeat(np.arange(len(counts)), counts)]
-            if len(keys):
-                used, rows = _packed_rows(buckets, ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), [keys, owner, size, bits])
-                yield C.columns_batch(bucket=used.astype(np.int32), postings=pa.array(rows, pa.binary()))
-
-    return met.mapInArrow(work, "bucket int, postings binary")
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    least = np.repeat(owners[edge], np.diff(np.append(edge, len(keys))))
+    other = owners != least
+    pairs = np.unique(np.stack([least[other], owners[other]], 1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def forest(n: int, links_of) -> list[tuple[int, int]]:
@@ -269,29 +247,6 @@ def forest(n: int, links_of) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Edges between classes of a list whose bitmaps allow the similarity."""
-    kinds = [np.uint64, np.int64, np.int32, np.dtype((np.uint64, BITS // 64))]
-    keys, owners, sizes, bits = _unpacked(table.column("postings").to_pylist(), kinds)
-    sizes = sizes.astype(np.int64)
-    order = np.lexsort((owners, keys))
-    keys, owners, sizes, bits = keys[order], owners[order], sizes[order], bits[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    edges = set()
-    for a, b in zip(edge.tolist(), np.append(edge[1:], len(keys)).tolist()):
-        n, m, who = sizes[a:b], bits[a:b], owners[a:b]
-
-        def links(i, others):
-            differ = np.bitwise_count(m[others] ^ m[i]).sum(1, dtype=np.int64)
-            both = n[others] + n[i]
-            need = overlap_needed(n[others], n[i])
-            return (need <= np.minimum(n[others], n[i])) & (2 * need <= both - differ)
-
-        edges.update((int(who[i]), int(who[j])) for i, j in forest(b - a, links))
-    pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
 def _verified(table: pa.Table) -> pa.Table:
     """Edges between classes of two blocks (or inside one) whose sets are similar."""
     names = table.column("class").to_pylist()
@@ -332,19 +287,14 @@ def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = C.partitions(spark)
     keyed = _keyed(docs)
     facts = C.staged(_facts(keyed))
-    totals = {r[0]: r[1] for r in facts.filter("kind = 2").groupBy("key").agg(F.sum("n")).collect()}
-    limit = boundary(totals.get(0, 0) / max(1, totals.get(1, 1)))
-    often = facts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT)
-    frequent = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))
-
-    rows = facts.filter("kind = 0").select("doc_id", "tie", "n", "s1", "s2", "bits")
-    grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.min("bits").alias("bits"))
-    classes = C.staged(grouped.select("n", "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), "bits"))
-
-    buckets = 4 * parts
-    met = _postings(keyed, limit, frequent, buckets).groupBy("bucket").applyInArrow(_company, "s1 long, keys binary")
-    with_bits = met.join(classes.select("s1", "n", "bits"), "s1").select("s1", "n", "keys", "bits")
-    edges = _meetings(with_bits, buckets).groupBy("bucket").applyInArrow(_candidates, "a long, b long").distinct()
+    rows = facts.select("doc_id", "tie", "n", "s1", "s2")
+    sizes = rows.filter(F.col("n").between(1, 2 * LARGEST_LIGHT)).groupBy("n").count().collect()
+    limit = boundary({r[0]: r[1] for r in sizes})
+    grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    classes = C.staged(grouped.select("n", "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")))
+
+    listed = _postings(keyed, limit, parts)
+    edges = listed.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
     groups = C.staged(connected_components(edges))
 
     # A group larger than a block is cut; every pair of its blocks is one unit of comparison.
