@@ -3,8 +3,8 @@
 Scores are BM25 divided by the item's score against itself, so 1 means that a
 passage holds all of the item.  Passages are overlapping word windows, twice as
 long as the longest item, so that an item never straddles all of them.  A
-passage first meets upper bounds (block maxima of the rarer terms plus what the
-common terms can add), then block-max WAND retrieves every item at or above the
+passage first meets upper bounds (of the rarer terms, by blocks of items and
+then by item, plus what the common terms can add), then block-max WAND retrieves every item at or above the
 threshold, then three-word overlaps of the item's question (first half) and
 answer (second half) are verified.
 """
@@ -81,6 +81,7 @@ class Index:
     block_max: np.ndarray
     rare: np.ndarray  # per term, whether it counts towards the bound
     common_of_block: np.ndarray  # the most that common terms add to an item of the block
+    common_of_item: np.ndarray
     triples: list[tuple[np.ndarray, np.ndarray]]  # of question and answer
     span: int  # half a passage, in words
     threshold: float
@@ -126,27 +127,34 @@ class Index:
         base = np.concatenate([[0], room[:-1]])
         keys = np.unique((base[row] + part) * len(self.terms) + at)
         part, at = keys // len(self.terms), keys % len(self.terms)
-        n_blocks = len(self.common_of_block)
-        sizes = self.block_starts[at + 1] - self.block_starts[at]
-        from_ = np.repeat(self.block_starts[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        cells = np.repeat(part, sizes) * n_blocks + self.blocks[from_]
-        cells, back = np.unique(cells, return_inverse=True)
-        sums = np.bincount(back, weights=self.block_max[from_], minlength=len(cells))
-        # A window is a part and the next one.
-        both = np.unique(np.concatenate([cells, cells - n_blocks]))
-
-        def of(wanted):
-            i = np.minimum(np.searchsorted(cells, wanted), max(len(cells) - 1, 0))
-            return np.where(cells[i] == wanted, sums[i], 0.0) if len(cells) else np.zeros(len(wanted))
-
-        bound = of(both) + of(both + n_blocks) + self.common_of_block[both % n_blocks]
-        parts = np.unique(both[bound >= self.threshold - 1e-9] // n_blocks)
-        owner = np.searchsorted(base, parts, "right") - 1
-        for r, p in zip(owner.tolist(), (parts - base[owner]).tolist()):
+        windows = self._reaching(part, at, self.block_starts, self.blocks, self.block_max, self.common_of_block)
+        # The same bound per item, for the parts of the windows that are left.
+        left = np.isin(part, np.concatenate([windows, windows + 1]))
+        windows = self._reaching(part[left], at[left], self.starts, self.items, self.impacts, self.common_of_item)
+        owner = np.searchsorted(base, windows, "right") - 1
+        for r, p in zip(owner.tolist(), (windows - base[owner]).tolist()):
             # A window before the first part or behind the last word holds nothing that a full one does not.
             if r >= 0 and p * self.span < first[r + 1] - first[r]:
                 yield r, p
 
+    def _reaching(self, part, at, starts, columns, most, common) -> np.ndarray:
+        """Windows (a part and the next one) in which the terms found can lift some column to the threshold."""
+        width = len(common)
+        sizes = starts[at + 1] - starts[at]
+        from_ = np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cells, back = np.unique(np.repeat(part, sizes) * width + columns[from_], return_inverse=True)
+        if not len(cells):
+            return np.empty(0, np.int64)
+        sums = np.bincount(back, weights=most[from_], minlength=len(cells))
+
+        def of(wanted):
+            i = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
+            return np.where(cells[i] == wanted, sums[i], 0.0)
+
+        both = np.unique(np.concatenate([cells, cells - width]))
+        bound = of(both) + of(both + width) + common[both % width]
+        return np.unique(both[bound >= self.threshold - 1e-9] // width)
+
     def wand(self, terms: np.ndarray) -> dict[int, float]:
         """Every item whose score over these terms reaches the threshold (block-max WAND)."""
         lists = [_Cursor(self, int(t)) for t in terms]
@@ -246,7 +254,7 @@ def _index(rows, texts: dict[int, tuple[int, str]], threshold: float) -> Index:
         rare[t] = False
     blocks = np.zeros((len(order) + BLOCK - 1) // BLOCK)
     np.maximum.at(blocks, np.arange(len(order)) // BLOCK, common)
-    return Index([texts[i][0] for i in order], terms, starts, item, impact, block_starts, block[edge], block_max, rare, blocks, triples, longest, threshold)
+    return Index([texts[i][0] for i in order], terms, starts, item, impact, block_starts, block[edge], block_max, rare, blocks, common, triples, longest, threshold)
 
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES):
