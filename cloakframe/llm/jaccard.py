@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -326,10 +326,14 @@ def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their group, and of rows with one id the first by text and other columns."""
-    found = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    ident = C.free(docs, "group_id")
-    kept = docs.join(found.withColumnRenamed("doc_id", ident), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
+    """The documents whose id names their group; where rows repeat that id, the first by text and a hash of the rest."""
+    ident, place = C.free(docs, "group_id"), C.free(docs, "group_place")
+    named = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).count()
+    named = C.staged(named)
+    kept = docs.join(named.select(ident), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
+    if named.filter(F.col("count") > 1).limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+        kept = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return kept
 
 
