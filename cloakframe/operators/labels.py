@@ -102,9 +102,9 @@ def chunks(tags: Column) -> Column:
     )
 
     def step(acc: Column, tag: Column) -> Column:
-        label = F.substring(tag, 3, 100)
+        label = F.substring(tag, F.lit(3), F.length(tag))
         fresh = (
-            F.startswith(tag, F.lit("B-")) | (acc["prev"] == "O") | (F.substring(acc["prev"], 3, 100) != label)
+            F.startswith(tag, F.lit("B-")) | (acc["prev"] == "O") | (F.substring(acc["prev"], F.lit(3), F.length(acc["prev"])) != label)
         )
         opened = F.struct(label.alias("label"), acc["i"].alias("first"), acc["i"].alias("last"))
         grown = let(

@@ -88,8 +88,12 @@ def resolve(
         .select("_id", "_key", "token", F.inline("_scopes"))
         .filter(F.col("scope_id").isNotNull())
     )
-    stored = vault.select("scope_type", "scope_id", "token", "ciphertext").filter(F.length("ciphertext") > 0)
+    written = F.col("written_at") if "written_at" in vault.columns else F.lit(None).cast("timestamp")
+    stored = vault.select("scope_type", "scope_id", "token", "ciphertext", written.alias("_written")).filter(F.length("ciphertext") > 0)
     found = lookup_join(asked, stored, ["scope_type", "scope_id", "token"], "inner", **join_options)
+    # A vault that was not merged may hold a token more than once; the row written last counts.
+    found = found.groupBy("_id", "rank", "token").agg(
+        F.max(F.struct("_written", "ciphertext"))["ciphertext"].alias("ciphertext"), F.first("_key").alias("_key"))
     opened = found.select("_id", "token", "rank", crypto.decrypt(F.col("ciphertext"), F.col("_key")).alias("_plain"))
     entry = F.struct("token", "_plain")
     maps = opened.groupBy("_id").agg(

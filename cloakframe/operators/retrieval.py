@@ -80,7 +80,7 @@ def _block_top_k(corpus: DataFrame, id: str, vector: str, names: list, matrix: n
             if not len(batch):
                 continue
             data = _unit_rows(np.vstack(batch[vector].to_numpy()).astype("float64"))
-            similarity = queries @ data.T
+            similarity = np.round(queries @ data.T, 9)  # as in the last ranking, so that ties end alike in any layout
             keys = batch[id].to_numpy()
             frames = []
             for row, name in enumerate(ids):

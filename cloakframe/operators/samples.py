@@ -208,7 +208,7 @@ def allot_types(df: DataFrame, ordinal: str, total: Column) -> DataFrame:
     return (
         staged.withColumn("record_type", F.get(F.expr("array(" + ", ".join(f"'{x}'" for x in names) + ")"), F.col("_type")))
         .withColumn("type_index", position - first)
-        .withColumn("file_name", F.concat("record_type", F.lit("_"), F.lpad(F.col("type_index").cast("string"), 6, "0"), F.lit(".txt")))
+        .withColumn("file_name", F.concat("record_type", F.lit("_"), F.format_string("%06d", F.col("type_index")), F.lit(".txt")))
         .drop("_base", "_extra", "_type")
     )
 

@@ -68,7 +68,7 @@ def tag_words(model: PipelineModel, df: DataFrame, row_id: str, text: str = "tex
 def with_pieces(model: PipelineModel, df: DataFrame, row_id: str, text: str = "text", out: str = "pieces") -> DataFrame:
     """Model output per text as ordered spans, the input of ``detect.with_model_spans``."""
     tagged = tag_words(model, df, row_id, text).filter(F.col("tag") != "O")
-    piece = S.span(F.col("start"), F.col("end"), F.substring("tag", 3, 50), F.col("score"), F.lit(MODEL_SOURCE))
+    piece = S.span(F.col("start"), F.col("end"), F.substring("tag", F.lit(3), F.length("tag")), F.col("score"), F.lit(MODEL_SOURCE))
     pieces = tagged.groupBy(row_id).agg(F.sort_array(F.collect_list(piece)).alias(out))
     return df.join(pieces, row_id, "left").withColumn(out, F.coalesce(F.col(out), S.no_spans()))
 

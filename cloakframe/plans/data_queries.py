@@ -46,7 +46,7 @@ SELECT k AS c_custkey, CASE t WHEN 0 THEN 'Chart ' || mrn || ' for ' || emp || '
         "c_custkey", "text", F.array_join(F.transform("entities", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"), e["label"])), ",").alias("entities")))
 query("records")(lambda s, d: _records(s, d).select("c_custkey", "file_name", "text"))
 query("record_quotas", """WITH n AS (SELECT count(*) AS n FROM customer), t(i, record_type) AS (VALUES (0, 'personal_banking'), (1, 'intl_business'), (2, 'gov_contractor'), (3, 'healthcare_professional'), (4, 'tech_startup'))
-SELECT record_type, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS n, record_type || '_000000.txt' AS first_file, record_type || '_' || lpad(CAST(n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END - 1 AS VARCHAR), 6, '0') || '.txt' AS last_file FROM n, t""")(
+SELECT record_type, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS n, record_type || '_000000.txt' AS first_file, record_type || '_' || printf('%06d', n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END - 1) || '.txt' AS last_file FROM n, t""")(
     lambda s, d: _quotas(table(s, d, "customer").select("c_custkey")))
 
 

@@ -172,7 +172,7 @@ query("token_map", f"WITH {ALL_TOKENS} SELECT DISTINCT id, token, value, label F
 
 
 def _key():
-    return F.lit("16ByteSecureKey!").cast("binary")
+    return F.lit("own-test-key-016").cast("binary")
 
 
 query("encrypted_map_round_trip", f"WITH {DOC_TOKENS} SELECT DISTINCT id, token, label, value FROM tokens")(

@@ -13,7 +13,7 @@ from ..operators import vault as V
 from . import sqltext as Q
 from .registry import query, rel, spread, table
 
-KEY_TEXT = "16ByteSecureKey!"
+KEY_TEXT = "own-test-key-016"
 
 
 def _key():

@@ -28,10 +28,12 @@ def local_session(app: str = "cloakframe", cpus: int | None = None, memory: str
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a temporary one only where none is set."""
+    """Reliable checkpoint in the folder the session names; a local one only where none is set and all runs on one machine."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cloakframe-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -21,7 +21,7 @@ from cloakframe.operators import vault as V
 @pytest.fixture(scope="module", autouse=True)
 def _key(spark):
     global KEY
-    KEY = F.lit("16ByteSecureKey!").cast("binary")
+    KEY = F.lit("own-test-key-016").cast("binary")
 
 
 def span_frame(spark, groups):
@@ -221,10 +221,10 @@ def test_resolve_under_grants(spark, join):
     grants = spark.createDataFrame([("u1", "d1", "EMAIL"), ("u2", "d1", "*")], "user_id string, dataset_id string, entity_type string")
     text = f"{EMAIL} {IP} [SSN_00000000]"
     requests = spark.createDataFrame([
-        (1, "viewer", "v", "d1", text, "16ByteSecureKey!"), (2, "analyst", "u1", "d1", text, "16ByteSecureKey!"),
-        (3, "analyst", "u2", "d1", text, "16ByteSecureKey!"), (4, "admin", "x", None, text, "16ByteSecureKey!"),
-        (5, "analyst", "u1", "d1", text, "WrongKeyWrongKey"), (6, "analyst", "u1", None, text, "16ByteSecureKey!"),
-        (7, "admin", "x", "d1", "no tokens", "16ByteSecureKey!"),
+        (1, "viewer", "v", "d1", text, "own-test-key-016"), (2, "analyst", "u1", "d1", text, "own-test-key-016"),
+        (3, "analyst", "u2", "d1", text, "own-test-key-016"), (4, "admin", "x", None, text, "own-test-key-016"),
+        (5, "analyst", "u1", "d1", text, "WrongKeyWrongKey"), (6, "analyst", "u1", None, text, "own-test-key-016"),
+        (7, "admin", "x", "d1", "no tokens", "own-test-key-016"),
     ], "id int, role string, user_id string, dataset_id string, text string, aes string").withColumn("session_id", F.lit("s1"))
     out = R.resolve(
         A.allowed_types(requests, grants), vault, "id", dataset="dataset_id", allowed="allowed",
@@ -282,6 +282,9 @@ def test_round_trip_properties(spark):
     rows = T.encrypted_map(T.token_rows(made, ["session_id"]), KEY)
     vault = V.vault_rows(rows, F.col("session_id"), F.lit("k"), F.lit("f"), F.current_timestamp())
     back = R.resolve(made.select("id", "session_id", F.col("tokenized").alias("text")), vault, "id", key=KEY)
+    twice = vault.unionByName(vault.withColumn("written_at", F.current_timestamp()))
+    again = R.resolve(made.select("id", "session_id", F.col("tokenized").alias("text")), twice, "id", key=KEY)
+    assert sorted(r.resolved for r in again.collect()) == sorted(r.resolved for r in back.collect())
     assert [r.resolved for r in back.orderBy("id").collect()] == texts
     for r in made.collect():
         for e in r.entities:

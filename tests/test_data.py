@@ -63,3 +63,23 @@ def test_top_k_equals_brute_force_in_blocks(spark):
     for r in RT.top_k(corpus, queries, "id", "qid", block=17).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == want
+
+
+def test_names_of_records_past_a_million_differ(spark):
+    rows = spark.createDataFrame([(100_000,), (1_000_000,)], "i long")
+    names = [r.file_name for r in SM.allot_types(rows, "i", F.lit(10_000_000)).collect()]
+    assert len(set(names)) == 2 and names[1].endswith("_1000000.txt")
+
+
+def test_top_k_does_not_depend_on_the_layout(spark):
+    rows = [(i, [1.0, 1e-12 * (9 - i), 0.0]) for i in range(1, 10)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "q long, embedding array<double>")
+    found = {n: RT.top_k(corpus.repartition(n), queries, "vec_id", "q", k=1).first().vec_id for n in (1, 7)}
+    assert set(found.values()) == {1}
+
+
+def test_long_labels_stay_apart(spark):
+    tags = ["B-" + "x" * 120 + "1", "I-" + "x" * 120 + "2"]
+    df = spark.createDataFrame([(tags,)], "p array<string>")
+    assert len(df.select(L.chunks(F.col("p")).alias("c")).first().c) == 2

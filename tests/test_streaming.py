@@ -54,7 +54,7 @@ def test_clean_resolve_and_audit(spark, tmp_path):
         [chunk("s", 2, "9273c]!"), chunk("s", 3, "", True), chunk("t", 1, " [x", True)],
     ])
     cleaned = ST.clean_chunks(ST.read_stream(spark, path, schemas.CHAT_CHUNKS))
-    key = F.lit("16ByteSecureKey!").cast("binary")
+    key = F.lit("own-test-key-016").cast("binary")
     vault = spark.createDataFrame([("session", "s", "[EMAIL_d249273c]", "ann@x.org")], "scope_type string, scope_id string, token string, v string").withColumn(
         "ciphertext", crypto.encrypt(F.col("v"), key)).drop("v")
     sessions = spark.createDataFrame([("s", "u", "d", ["EMAIL"]), ("t", "u", "d", [])], "session_id string, user_id string, dataset_id string, allowed array<string>")
@@ -72,7 +72,7 @@ def test_requests_are_tokenized_before_they_are_stored(spark, tmp_path):
     rows = [{"message_id": "m1", "session_id": "s", "message": " mail ann@x.org [IP_00958fd0] ", "ts": "2024-01-01T00:00:00Z"},
             {"message_id": "m2", "session_id": "s", "message": "plain", "ts": "2024-01-01T00:01:00Z"}]
     path = write_batches(tmp_path / "in", [[rows[0]], [rows[1]]])
-    key = F.lit("16ByteSecureKey!").cast("binary")
+    key = F.lit("own-test-key-016").cast("binary")
     stream = ST.read_stream(spark, path, schemas.CHAT_REQUESTS)
     writer = ST.store_messages(str(tmp_path / "out"), key)
     for _ in range(2):  # the second run finds nothing new
