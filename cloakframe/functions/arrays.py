@@ -82,6 +82,46 @@ def places(hits: Column, gaps: Column) -> Column:
     return let(zipped, blocked)
 
 
+def folded_in_runs(spans: Column, fold: Callable[[Column], Column], gap: int) -> Column:
+    """``fold`` applied to runs of spans that no span before them comes nearer to than ``gap`` characters.
+
+    A fold copies its result at each step; spans that cannot touch do not need
+    one fold, so many spans in one text cost about as much as they are many.
+    ``gap`` -1 separates spans that merely do not overlap.
+    """
+
+    def reach_before(ends: Column, firsts: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        inside = F.array_max(F.slice(ends, block * _BLOCK + 1, i - block * _BLOCK))
+        return F.greatest(F.get(firsts, block), F.coalesce(inside, F.lit(-1)))
+
+    def with_ends(items: Column) -> Column:
+        return F.struct(items.alias("items"), F.transform(items, lambda s: s["end"]).alias("ends"))
+
+    def with_firsts(b: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(b["ends"]) - 1) / _BLOCK).cast("int"))
+        highest = F.transform(numbers, lambda k: F.array_max(F.slice(b["ends"], k * _BLOCK + 1, F.lit(_BLOCK))))
+        firsts = F.aggregate(highest, F.array(F.lit(-1)), lambda acc, x: F.concat(acc, F.array(F.greatest(last(acc), x))))
+        return F.struct(b["items"].alias("items"), b["ends"].alias("ends"), firsts.alias("firsts"))
+
+    def with_edges(b: Column) -> Column:
+        marked = F.transform(
+            b["items"],
+            lambda s, i: F.when((i == 0) | (s["start"] > reach_before(b["ends"], b["firsts"], i) + gap), i),
+        )
+        return F.struct(b["items"].alias("items"), F.filter(marked, lambda i: i.isNotNull()).alias("edges"))
+
+    def cut(b: Column) -> Column:
+        def run(first: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(b["edges"], j + 1), F.size(b["items"]))
+            return fold(F.slice(b["items"], first + 1, end - first))
+
+        return F.flatten(F.transform(b["edges"], run))
+
+    staged = let(let(let(let(spans, with_ends), with_firsts), with_edges), cut)
+    return F.when(F.size(spans) <= 32, fold(spans)).otherwise(staged)
+
+
 def text_slice(text: Column, start: Column, end: Column) -> Column:
     """Characters ``start`` (inclusive) to ``end`` (exclusive), counted in code points."""
     return F.substring(text, start + F.lit(1), end - start)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule, select_rules, spark_regex
-from ..functions.arrays import built_once, exploded, last, let, places, text_slice
+from ..functions.arrays import built_once, exploded, folded_in_runs, last, let, places, text_slice
 from ..functions.checks import CHECKS
 from . import spans as S
 
 RULE_SOURCE = "RULE"
 MODEL_SOURCE = "AI_MODEL"
 
+_NEAR = 400
 _MATCH = "array<struct<start:int,end:int,hit:string,rule:int>>"
 # Plain character runs tested once per text; a rule whose run is absent is not tried.
 _GATES = {
@@ -103,9 +104,23 @@ def with_matches(df: DataFrame, text: str = "text", rules: list[Rule] | None = N
 
 
 def context_before(text: Column, start: Column, words: int) -> Column:
-    """The last ``words`` blank-separated pieces before a span (and the piece it sits in), lower case."""
-    flat = F.translate(F.substring(text, F.lit(1), start), "\n\r\t", "   ")
-    return F.lower(F.substring_index(flat, " ", -(words + 1)))
+    """The last ``words`` blank-separated pieces before a span (and the piece it sits in), lower case.
+
+    Mostly they stand within the last few hundred characters; only where those
+    hold too few blanks is the text looked at from its start.
+    """
+
+    def tail(size: Column) -> Column:
+        return F.translate(F.substring(text, start - size + 1, size), "\n\r\t", "   ")
+
+    def pieces(flat: Column) -> Column:
+        return F.lower(F.substring_index(flat, " ", -(words + 1)))
+
+    def choose(near: Column) -> Column:
+        blanks = F.length(near) - F.length(F.replace(near, F.lit(" "), F.lit("")))
+        return F.when((start <= _NEAR) | (blanks > words), pieces(near)).otherwise(pieces(tail(start)))
+
+    return let(tail(F.least(start, F.lit(_NEAR))), choose)
 
 
 def score_in_context(
@@ -172,7 +187,7 @@ def _keep_best_rules(ordered: Column) -> Column:
 
         return let(last(kept), choose)
 
-    return F.aggregate(ordered, empty, step)
+    return folded_in_runs(ordered, lambda run: F.aggregate(run, empty, step), -1)
 
 
 def _trimmed(text: Column, kept: Column, rules: list[Rule], trim: str) -> Column:

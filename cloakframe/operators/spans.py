@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import KEYWORD_PREFIX_LABELS
-from ..functions.arrays import last, let, replace_last, text_slice
+from ..functions.arrays import folded_in_runs, last, let, replace_last, text_slice
 
 SPAN = "struct<start:int,end:int,label:string,score:double,source:string>"
 SPANS = f"array<{SPAN}>"
@@ -48,7 +48,7 @@ def keep_best(spans: Column) -> Column:
 
         return let(last(kept), choose)
 
-    return F.aggregate(spans, no_spans(), step)
+    return folded_in_runs(spans, lambda run: F.aggregate(run, no_spans(), step), -1)
 
 
 def merge_near(spans: Column, gap: int = 1) -> Column:
@@ -73,7 +73,7 @@ def merge_near(spans: Column, gap: int = 1) -> Column:
 
         return let(last(merged), choose)
 
-    return F.aggregate(spans, no_spans(), step)
+    return folded_in_runs(spans, lambda run: F.aggregate(run, no_spans(), step), gap)
 
 
 def trim_prefix(text: Column, s: Column, may_trim: Column) -> Column:
@@ -112,7 +112,7 @@ def join_pieces(spans: Column) -> Column:
 
         return let(last(merged), choose)
 
-    return F.aggregate(spans, no_spans(), step)
+    return folded_in_runs(spans, lambda run: F.aggregate(run, no_spans(), step), 1)
 
 
 def not_covered(spans: Column, rules: Column) -> Column:

@@ -44,12 +44,25 @@ def _entities(text: Column, merged: Column) -> Column:
             ),
         )
 
+    def twofold(pairs: Column) -> Column:
+        """Values that carry more than one label, from pairs in order."""
+        places = F.filter(
+            F.transform(pairs, lambda p, i: F.when(
+                (i > 0) & (p["value"] == F.get(pairs, i - 1)["value"]) & (p["short"] != F.get(pairs, i - 1)["short"]), p["value"])),
+            lambda v: v.isNotNull(),
+        )
+        return F.array_distinct(places)
+
     def unified(items: Column) -> Column:
-        bound = F.struct(items.alias("e"), F.reverse(F.transform(items, lambda e: e["value"])).alias("back"))
+        bound = F.struct(
+            items.alias("e"), F.reverse(F.transform(items, lambda e: e["value"])).alias("back"),
+            let(F.sort_array(F.transform(items, lambda e: F.struct(e["value"], e["short"]))), twofold).alias("twofold"),
+        )
 
         def build(b: Column) -> Column:
             def one(e: Column) -> Column:
-                winner = F.get(b["e"], F.size(b["e"]) - F.array_position(b["back"], e["value"]).cast("int"))["short"]
+                rightmost = F.get(b["e"], F.size(b["e"]) - F.array_position(b["back"], e["value"]).cast("int"))["short"]
+                winner = F.when(F.array_contains(b["twofold"], e["value"]), rightmost).otherwise(e["short"])
                 return F.struct(
                     e["start"].alias("start"), e["end"].alias("end"), winner.alias("label"),
                     e["score"].alias("score"), e["source"].alias("source"), e["value"].alias("value"),

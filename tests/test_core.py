@@ -306,3 +306,29 @@ def test_running_totals(spark):
     got = skew.running_totals(df, ["k"], [F.col("n")], F.floor(F.col("n") / 8), F.col("x"), "before")
     for r in got.collect():
         assert r.before == (sum(range(1, r.n + 1)) if r.k == "a" else 0)
+
+
+def test_many_spans_fold_as_few_do(spark):
+    """Runs of spans folded apart give what one fold over all gives."""
+    import random
+
+    from cloakframe.operators import spans as S
+
+    rng, rows = random.Random(5), []
+    for width in (3, 12, 60):
+        starts = sorted(rng.randrange(4000) for _ in range(700))
+        rows.append(([(s, s + rng.randrange(1, width), rng.choice("AB"), rng.randrange(1, 9) / 10, "RULE") for s in starts],))
+    got = spark.createDataFrame(rows, f"spans {S.SPANS}").select("spans", S.keep_best(F.col("spans")).alias("best"), S.merge_near(F.col("spans")).alias("near"))
+    for row in got.collect():
+        best, near = [], []
+        for s in map(tuple, row.spans):
+            if not best or s[0] >= best[-1][1]:
+                best.append(s)
+            elif s[3] > best[-1][3]:
+                best[-1] = s
+            if near and s[0] <= near[-1][1] + 1:
+                top = s if s[3] > near[-1][3] else near[-1]
+                near[-1] = (near[-1][0], max(near[-1][1], s[1]), top[2], top[3], top[4])
+            else:
+                near.append(s)
+        assert [tuple(x) for x in row.best] == best and [tuple(x) for x in row.near] == near
