@@ -27,6 +27,7 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
     for name in HEADLINE:
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()  # compiles code; not timed
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

@@ -137,8 +137,8 @@ def last(items: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines of a text as ``str.splitlines`` gives them for \\n, \\r and \\r\\n."""
-    whole = F.split(text, r"\r\n|\n|\r", -1)
+    """Lines of a text as ``str.splitlines`` gives them."""
+    whole = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
     return let(
         whole,
         lambda a: F.when(last(a) == F.lit(""), F.slice(a, F.lit(1), F.size(a) - F.lit(1))).otherwise(a),

@@ -192,5 +192,7 @@ def read_published(spark: SparkSession, root: str, part: str = "output") -> Data
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
-    """Append disclosures, partitioned by day."""
+    """Append disclosures, partitioned by day; rows without ``created_at`` were made now."""
+    if "created_at" not in rows.columns:
+        rows = rows.withColumn("created_at", F.current_timestamp())
     rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)

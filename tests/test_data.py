@@ -83,3 +83,18 @@ def test_long_labels_stay_apart(spark):
     tags = ["B-" + "x" * 120 + "1", "I-" + "x" * 120 + "2"]
     df = spark.createDataFrame([(tags,)], "p array<string>")
     assert len(df.select(L.chunks(F.col("p")).alias("c")).first().c) == 2
+
+
+def test_lines_are_those_of_splitlines(spark):
+    from cloakframe.functions import arrays as A
+
+    texts = ["a\nb\r\nc\rd", "x\x0by\x0cz\x1cw\x85v u t\n", "", "\n\n", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(A.lines(F.col("text"))).collect()] == [t.splitlines() for t in texts]
+
+
+def test_audit_rows_without_a_time_are_dated(spark, tmp_path):
+    from cloakframe.sources import files as FS
+
+    FS.write_audit(spark.createDataFrame([("u", "EMAIL", "t", "decrypt")], "user_id string, entity_type string, token string, action string"), str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).filter("created_at is not null and day is not null").count() == 1
