@@ -127,6 +127,46 @@ def text_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + F.lit(1), end - start)
 
 
+SLICE = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of 4,096 code points, found in one walk.
+
+    ``substring`` walks from the start of a text, so many slices of one long
+    text would cost the square of its length; slices of blocks do not.
+    """
+    return F.when(F.length(text) <= SLICE, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0)))
+
+
+def block_slice(blocks: Column, start: Column, end: Column) -> Column:
+    """:func:`text_slice` of a text given as its blocks."""
+    first = F.floor(start / SLICE).cast("int")
+    inside = start - first * SLICE
+    parts = F.floor((end - 1) / SLICE).cast("int") - first + 1
+    one = F.get(blocks, first)
+    body = F.when(parts <= 1, one).otherwise(F.array_join(F.slice(blocks, first + 1, F.greatest(parts, F.lit(1))), ""))
+    return F.when(end > start, F.substring(body, inside + 1, end - start)).when(blocks.isNotNull(), F.lit(""))
+
+
+def highest_before(values: Column) -> Column:
+    """For each value of an array the highest one before it (-1 for the first), over blocks, so that cost is linear."""
+
+    def with_firsts(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int"))
+        highest = F.transform(numbers, lambda k: F.array_max(F.slice(v, k * _BLOCK + 1, F.lit(_BLOCK))))
+        firsts = F.aggregate(highest, F.array(F.lit(-1)), lambda acc, x: F.concat(acc, F.array(F.greatest(last(acc), x))))
+        return F.struct(v.alias("v"), firsts.alias("firsts"))
+
+    def one(b: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        inside = F.array_max(F.slice(b["v"], block * _BLOCK + 1, i - block * _BLOCK))
+        return F.greatest(F.get(b["firsts"], block), F.coalesce(inside, F.lit(-1)))
+
+    return let(let(values, with_firsts), lambda b: F.transform(b["v"], lambda _, i: one(b, i)))
+
+
 def replace_last(items: Column, item: Column) -> Column:
     return F.concat(F.slice(items, F.lit(1), F.size(items) - F.lit(1)), F.array(item))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from .skew import lookup_join
+from .skew import lookup_join, running_totals
 
 
 def allowed_types(requests: DataFrame, grants: DataFrame, out: str = "allowed", **join_options) -> DataFrame:
@@ -49,7 +49,7 @@ def insert_users(new: DataFrame, users: DataFrame) -> DataFrame:
     good_role = F.col("role").isin(*C.ROLES)
     first = new.filter(good_role).groupBy("email").agg(F.min("request_id").alias("_first"))
     taken = users.select("email", F.lit(True).alias("_taken")).distinct()
-    joined = new.join(taken, "email", "left").join(first, "email", "left")
+    joined = lookup_join(lookup_join(new, taken, ["email"]), first, ["email"])
     outcome = (
         F.when(~good_role, "bad_role")
         .when(F.col("_taken").isNotNull() | (F.col("request_id") != F.col("_first")), "email_taken")
@@ -116,14 +116,14 @@ def sessions_of(sessions: DataFrame, user_id, limit: int = 50) -> DataFrame:
 
 
 def session_messages(sessions: DataFrame, messages: DataFrame, user_id=None, **join_options) -> DataFrame:
-    """Messages of sessions, with their session's owner and title, as ordered rows.
+    """Messages of sessions, with their session's owner and title, in order within each session.
 
-    Rows stay rows: a session of any length is a sorted range of the result,
-    never one collected value.
+    Rows stay rows: a session is a sorted run inside one partition, never one
+    collected value, and no sort of all messages takes place.
     """
     owned = sessions if user_id is None else sessions.filter(F.col("user_id") == F.lit(user_id))
     joined = lookup_join(messages, owned.select("session_id", "user_id", "title"), ["session_id"], "inner", **join_options)
-    return joined.orderBy("session_id", "created_at", "message_id")
+    return joined.repartition("session_id").sortWithinPartitions("session_id", "created_at", "message_id")
 
 
 def session_activity(messages: DataFrame) -> DataFrame:
@@ -141,3 +141,26 @@ def history_until(messages: DataFrame, requests: DataFrame, **join_options) -> D
     """
     joined = lookup_join(messages, requests, ["session_id"], "inner", **join_options)
     return joined.filter(F.col("created_at") <= F.col("until"))
+
+
+def numbered_history(messages: DataFrame, id: str = "message_id") -> DataFrame:
+    """Every message with ``position``, its place (from 0) in its session by time, then id.
+
+    What a message may see are the rows of its session with a smaller position,
+    in that order; :func:`history_of` gives them.  Places are two-level: counts
+    per day and session first, so that one endless session stays spread out.
+    """
+    return running_totals(
+        messages, ["session_id"], [F.col("created_at"), F.col(id)], F.to_date("created_at"), F.lit(1), "position"
+    ).withColumn("position", F.col("position").cast("long"))
+
+
+def history_of(numbered: DataFrame, asked: DataFrame, id: str = "message_id", **join_options) -> DataFrame:
+    """Per asked message (session_id, id) everything before it in its session, with ``place`` in order.
+
+    Several messages of one session may be asked for; equal times are told apart by position.
+    """
+    at = lookup_join(asked.select("session_id", id), numbered.select("session_id", id, "position"), ["session_id", id], "inner")
+    at = at.select("session_id", F.col(id).alias("asked_id"), F.col("position").alias("_at"))
+    seen = lookup_join(numbered, at, ["session_id"], "inner", **join_options).filter(F.col("position") < F.col("_at"))
+    return seen.withColumnRenamed("position", "place").drop("_at")

@@ -38,33 +38,44 @@ def sections(text: Column) -> Column:
     anew when seen again; lines before any header belong to ``header``.
     """
 
-    def step(acc: Column, line: Column) -> Column:
-        bare = strip(line)
-        is_header = F.endswith(bare, F.lit(":")) & ~F.startswith(bare, F.lit("-")) & (F.length(bare) < 40)
-        name = F.regexp_replace(bare, ":+$", "")
-        fresh = F.struct(name.alias("name"), F.array().cast("array<string>").alias("lines"))
-        known = F.exists(acc["out"], lambda s: s["name"] == name)
-        emptied = F.transform(acc["out"], lambda s: F.when(s["name"] == name, fresh).otherwise(s))
-        opened = F.when(known, emptied).otherwise(F.concat(acc["out"], F.array(fresh)))
-
-        def grow(s: Column) -> Column:
-            return F.struct(s["name"].alias("name"), F.concat(s["lines"], F.array(line)).alias("lines"))
-
-        here = F.exists(acc["out"], lambda s: s["name"] == acc["current"])
-        added = F.when(
-            here, F.transform(acc["out"], lambda s: F.when(s["name"] == acc["current"], grow(s)).otherwise(s))
-        ).otherwise(
-            F.concat(acc["out"], F.array(F.struct(acc["current"].alias("name"), F.array(line).alias("lines"))))
-        )
-        return F.struct(
-            F.when(is_header, name).otherwise(acc["current"]).alias("current"),
-            F.when(is_header, opened).otherwise(added).alias("out"),
-        )
+    def parsed(body: Column) -> Column:
+        """Names of the lines (NULL: no header) beside the lines."""
 
-    start = F.struct(F.lit("header").alias("current"), F.array().alias("out")).cast(
-        f"struct<current:string,out:{SECTIONS}>"
-    )
-    return F.aggregate(lines(text), start, step)["out"]
+        def name_of(line: Column) -> Column:
+            def test(bare: Column) -> Column:
+                is_header = F.endswith(bare, F.lit(":")) & ~F.startswith(bare, F.lit("-")) & (F.length(bare) < 40)
+                return F.when(is_header, F.regexp_replace(bare, ":+$", ""))
+
+            return let(strip(line), test)
+
+        return F.struct(body.alias("lines"), F.transform(body, name_of).alias("names"))
+
+    def grouped(b: Column) -> Column:
+        """Runs of lines, each under the header before it."""
+        heads = F.filter(F.transform(b["names"], lambda n, i: F.when(n.isNotNull(), i)), lambda i: i.isNotNull())
+        edges = F.when(F.coalesce(F.get(heads, F.lit(0)), F.lit(-1)) == 0, heads).otherwise(F.concat(F.array(F.lit(-1)), heads))
+
+        def one(at: Column, j: Column, e: Column) -> Column:
+            end = F.coalesce(F.get(e, j + 1), F.size(b["lines"]))
+            name = F.when(at < 0, F.lit("header")).otherwise(F.get(b["names"], F.greatest(at, F.lit(0))))
+            return F.struct(name.alias("name"), F.slice(b["lines"], at + 2, end - at - 1).alias("lines"))
+
+        return let(edges, lambda e: F.transform(e, lambda at, j: one(at, j, e)))
+
+    def last_of_name(groups: Column) -> Column:
+        """The last run of each name, at the place of the first one."""
+        named = F.sort_array(F.transform(groups, lambda g, i: F.struct(g["name"].alias("name"), i.alias("i"))))
+
+        def picked(n: Column) -> Column:
+            firsts = F.filter(n, lambda x, j: (j == 0) | (x["name"] != F.get(n, j - 1)["name"]))
+            lasts = F.filter(n, lambda x, j: (j == F.size(n) - 1) | (x["name"] != F.get(n, j + 1)["name"]))
+            places = F.zip_with(firsts, lasts, lambda a, z: F.struct(a["i"].alias("first"), z["i"].alias("last")))
+            return F.transform(F.sort_array(places), lambda p: F.get(groups, p["last"]))
+
+        return let(named, picked)
+
+    made = let(let(let(lines(text), parsed), grouped), last_of_name)
+    return F.when(F.size(lines(text)) == 0, F.array().cast(SECTIONS)).otherwise(made.cast(SECTIONS))
 
 
 def _message(role: str, content: Column) -> Column:
@@ -203,26 +214,33 @@ def _kind_names() -> Column:
 def exact_split(df: DataFrame, keys: list[str], train_share: float = 0.9, seed=42) -> DataFrame:
     """Shuffle by hash and mark exactly ``max(1, int(n * share))`` rows as train.
 
-    Rows are counted in 4096 hash ranges; whole ranges fall on one side of the
-    cut, and only rows of the range holding the cut are ranked.  No sort of
-    everything and no single-task window.
+    Rows are counted in 4096 hash ranges; the cut lies in one of them.  The rows
+    of that range are counted again by the next three digits, and only the rows
+    of the one finer range with the cut (a 16-millionth of all) are ordered to
+    find the last train code.  Every row is then compared with that one code:
+    no sort of everything, no single-task window, and no join of the rows.
     """
     code = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
-    coded = df.withColumn("_code", code).withColumn("_range", F.substring("_code", 1, 3))
-    counts = coded.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    # at most 4096 rows reach these two windows
-    bounds = counts.select(
-        "_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(total).alias("_total")
-    ).withColumn("_cut", F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(train_share) + F.lit(1e-9))))
-    marked = coded.join(F.broadcast(bounds), "_range")
-    inside = (F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_n") > F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_code", *keys))
-    ranked = marked.filter(inside).withColumn("_rank", F.col("_before") + rank)
-    whole = marked.filter(~inside).withColumn("_rank", F.when(F.col("_before") >= F.col("_cut"), F.col("_cut") + 1).otherwise(F.lit(0)))
-    both = ranked.unionByName(whole)
-    return both.withColumn("split", F.when(F.col("_rank") <= F.col("_cut"), "train").otherwise("val")).select(*df.columns, "split")
+    coded = df.select(code.alias("_code"), F.struct(*[F.col(k) for k in keys]).alias("_keys"))
+
+    def cut_range(rows: DataFrame, digits: int, rank: Column | None) -> DataFrame:
+        """The range of codes holding the row of that rank, and the rank inside it."""
+        counts = rows.groupBy(F.substring("_code", 1, digits).alias("_range")).agg(F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_rank"))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        if rank is not None:
+            placed = placed.withColumn("_total", F.sum("_n").over(Window.partitionBy())).withColumn("_rank", rank)
+        inside = (F.col("_before") < F.col("_rank")) & (F.col("_before") + F.col("_n") >= F.col("_rank"))
+        return placed.filter(inside).select("_range", (F.col("_rank") - F.col("_before")).alias("_rank"))
+
+    first = cut_range(coded.withColumn("_rank", F.lit(None).cast("long")), 3, F.greatest(F.lit(1), F.floor(F.col("_total") * F.lit(train_share))))
+    near = coded.join(F.broadcast(first), F.substring("_code", 1, 3) == F.col("_range")).drop("_range")
+    second = cut_range(near, 6, None)
+    last = coded.join(F.broadcast(second), F.substring("_code", 1, 6) == F.col("_range"))
+    ranked = last.withColumn("_no", F.row_number().over(Window.partitionBy("_range").orderBy("_code", "_keys")))
+    cut = ranked.filter(F.col("_no") == F.col("_rank")).agg(F.max(F.struct("_code", "_keys"))).scalar()
+    train = F.struct(code.alias("_code"), F.struct(*[F.col(k) for k in keys]).alias("_keys")) <= cut
+    return df.withColumn("split", F.when(train, "train").otherwise("val"))
 
 
 def hash_split(df: DataFrame, keys: list[str], train_share: float = 0.9, seed=42) -> DataFrame:

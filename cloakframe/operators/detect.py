@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule, select_rules, spark_regex
-from ..functions.arrays import built_once, exploded, folded_in_runs, last, let, places, text_slice
+from ..functions.arrays import block_slice, built_once, exploded, folded_in_runs, last, let, places, text_blocks, text_slice
 from ..functions.checks import CHECKS
 from . import spans as S
 
@@ -103,15 +103,15 @@ def with_matches(df: DataFrame, text: str = "text", rules: list[Rule] | None = N
     return found.withColumn(out, matches).drop("_low", "_hits", *[f"_{name}" for name in _GATES])
 
 
-def context_before(text: Column, start: Column, words: int) -> Column:
-    """The last ``words`` blank-separated pieces before a span (and the piece it sits in), lower case.
+def context_before(blocks: Column, start: Column, words: int) -> Column:
+    """From a text in blocks, the last ``words`` blank-separated pieces before a span (and the piece it sits in), lower case.
 
     Mostly they stand within the last few hundred characters; only where those
     hold too few blanks is the text looked at from its start.
     """
 
     def tail(size: Column) -> Column:
-        return F.translate(F.substring(text, start - size + 1, size), "\n\r\t", "   ")
+        return F.translate(block_slice(blocks, start - size, start), "\n\r\t", "   ")
 
     def pieces(flat: Column) -> Column:
         return F.lower(F.substring_index(flat, " ", -(words + 1)))
@@ -123,20 +123,25 @@ def context_before(text: Column, start: Column, words: int) -> Column:
     return let(tail(F.least(start, F.lit(_NEAR))), choose)
 
 
+def words_of(rule: Rule) -> tuple[str, ...]:
+    """Context words of a rule: its own, else those of its entity."""
+    return tuple(w.lower() for w in (rule.context or catalog.CONTEXT_WORDS.get(rule.entity, ())))
+
+
 def score_in_context(
     text: Column, matches: Column, rules: list[Rule], words: int = 5, boost: float = 0.35, floor: float = 0.4
 ) -> Column:
     """Spans with scores; a context word shortly before a match raises its score."""
     label = F.expr(_quoted_array(r.entity for r in rules))
     score = F.expr(f"array({', '.join(f'{r.score}D' for r in rules)})")
-    vocabularies = [_quoted_array(w.lower() for w in catalog.CONTEXT_WORDS.get(r.entity, ())) for r in rules]
+    vocabularies = [_quoted_array(words_of(r)) for r in rules]
     context = F.expr(f"array({', '.join(vocabularies)})")
 
-    def scored(m: Column) -> Column:
+    def scored(m: Column, blocks: Column) -> Column:
         base = F.get(score, m["rule"])
         vocabulary = F.get(context, m["rule"])
         near = let(
-            context_before(text, m["start"], words),
+            context_before(blocks, m["start"], words),
             lambda window: F.exists(vocabulary, lambda w: F.contains(window, w)),
         )
         lifted = F.round(F.least(F.lit(1.0), F.greatest(base + F.lit(boost), F.lit(floor))), 6)
@@ -146,7 +151,8 @@ def score_in_context(
             value.alias("score"), m["rule"].alias("rule"),
         )
 
-    return F.transform(matches, scored)
+    bound = F.struct(text_blocks(text).alias("t"), matches.alias("m"))
+    return let(bound, lambda b: F.transform(b["m"], lambda m: scored(m, b["t"])))
 
 
 def in_scan_order(scored: Column) -> Column:
@@ -190,7 +196,7 @@ def _keep_best_rules(ordered: Column) -> Column:
     return folded_in_runs(ordered, lambda run: F.aggregate(run, empty, step), -1)
 
 
-def _trimmed(text: Column, kept: Column, rules: list[Rule], trim: str) -> Column:
+def _trimmed(blocks: Column, kept: Column, rules: list[Rule], trim: str) -> Column:
     labelled = F.expr(f"array({', '.join(str(r.labelled).lower() for r in rules)})")
 
     def one(s: Column) -> Column:
@@ -198,7 +204,7 @@ def _trimmed(text: Column, kept: Column, rules: list[Rule], trim: str) -> Column
         if trim == "labelled":
             may = may & F.get(labelled, s["rule"])
         plain = S.span(s["start"], s["end"], s["label"], s["score"], F.lit(RULE_SOURCE))
-        return S.trim_prefix(text, plain, may)
+        return S.trim_prefix(blocks, plain, may)
 
     return F.transform(kept, one)
 
@@ -225,7 +231,7 @@ def with_rule_spans(
     rules = select_rules(entities, rules)
     if not rules:
         return df.withColumn(out, S.no_spans())
-    options = (text, tuple(rules), context_words, context_boost, context_floor)
+    options = (text, tuple(rules), tuple(words_of(r) for r in rules), context_words, context_boost, context_floor)
     matched = with_matches(df, text, rules, "_matches")
     scored = built_once(
         ("scored", *options),
@@ -241,7 +247,7 @@ def with_rule_spans(
     def result() -> Column:
         if trim == "off":
             return _as_spans(F.col("_kept"))
-        bound = F.struct(F.col(text).alias("t"), F.col("_kept").alias("k"))
+        bound = F.struct(text_blocks(F.col(text)).alias("t"), F.col("_kept").alias("k"))
         return let(bound, lambda b: _trimmed(b["t"], b["k"], rules, trim))
 
     spans = built_once(("trimmed", text, trim, tuple(rules)), result)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.arrays import last, let, places, replace_last
+from ..functions.arrays import let, places
 from ..functions.choice import hash_number
 
 TAGS: list[str] = ["O"] + [f"{side}-{label}" for label in C.TAG_LABELS for side in ("B", "I")]
@@ -97,28 +97,28 @@ def best_labels(scores: Column, labels: Column) -> Column:
 
 def chunks(tags: Column) -> Column:
     """Entity chunks of a tag sequence: B-, a new label, or I- after O opens one."""
-    empty = F.struct(F.lit(0).alias("i"), F.lit("O").alias("prev"), F.array().alias("out")).cast(
-        f"struct<i:int,prev:string,out:{CHUNKS}>"
-    )
 
-    def step(acc: Column, tag: Column) -> Column:
-        label = F.substring(tag, F.lit(3), F.length(tag))
-        fresh = (
-            F.startswith(tag, F.lit("B-")) | (acc["prev"] == "O") | (F.substring(acc["prev"], F.lit(3), F.length(acc["prev"])) != label)
-        )
-        opened = F.struct(label.alias("label"), acc["i"].alias("first"), acc["i"].alias("last"))
-        grown = let(
-            last(acc["out"]),
-            lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), acc["i"].alias("last")),
-        )
-        out = (
-            F.when(tag == "O", acc["out"])
-            .when(fresh, F.concat(acc["out"], F.array(opened)))
-            .otherwise(replace_last(acc["out"], grown))
-        )
-        return F.struct((acc["i"] + 1).alias("i"), tag.alias("prev"), out.alias("out"))
-
-    return F.aggregate(tags, empty, step)["out"]
+    def label_of(tag: Column) -> Column:
+        return F.substring(tag, F.lit(3), F.length(tag))
+
+    def edges(t: Column) -> Column:
+        """Where a chunk opens or an O stands, in order."""
+
+        def edge(tag: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(t, i - 1)).otherwise(F.lit("O"))
+            opens = F.startswith(tag, F.lit("B-")) | (before == "O") | (label_of(before) != label_of(tag))
+            return F.when((tag == "O") | opens, F.struct(i.alias("i"), F.when(tag != "O", label_of(tag)).alias("label")))
+
+        return F.struct(F.filter(F.transform(t, edge), lambda e: e.isNotNull()).alias("e"), F.size(t).alias("n"))
+
+    def closed(b: Column) -> Column:
+        def one(e: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(b["e"], j + 1)["i"], b["n"]) - 1
+            return F.when(e["label"].isNotNull(), F.struct(e["label"].alias("label"), e["i"].alias("first"), end.alias("last")))
+
+        return F.filter(F.transform(b["e"], one), lambda c: c.isNotNull())
+
+    return let(let(tags, edges), closed).cast(CHUNKS)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -127,7 +127,9 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def evaluate(df: DataFrame, predicted: str, actual: str, by: list[str] | None = None) -> DataFrame:
     """Entity precision, recall and F1 (exact chunks) and tag accuracy, from per-row counts."""
-    staged = df.withColumns({"_p": chunks(F.col(predicted)), "_a": chunks(F.col(actual))})
+    # As strings they are matched by hash; structs would be compared each with each.
+    text = lambda c: F.transform(chunks(F.col(c)), lambda x: F.concat_ws("|", x["first"], x["last"], x["label"]))
+    staged = df.withColumns({"_p": text(predicted), "_a": text(actual)})
     counted = staged.select(
         *(by or []),
         F.size("_p").alias("n_p"), F.size("_a").alias("n_a"), F.size(F.array_intersect("_p", "_a")).alias("n_hit"),

@@ -71,22 +71,26 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(corpus: DataFrame, id: str, vector: str, names: list, matrix: np.ndarray, k: int, schema: T.StructType):
-    """Best ``k`` of every Arrow batch for each query of one block."""
+    """Best ``k`` of every partition for each query of one block."""
     shared = corpus.sparkSession.sparkContext.broadcast((names, _unit_rows(matrix)))
 
     def run(batches):
         ids, queries = shared.value
+        best_sim = best_id = None
         for batch in batches:
             if not len(batch):
                 continue
             data = _unit_rows(np.vstack(batch[vector].to_numpy()).astype("float64"))
             similarity = np.round(queries @ data.T, 9)  # as in the last ranking, so that ties end alike in any layout
-            keys = batch[id].to_numpy()
-            frames = []
-            for row, name in enumerate(ids):
-                order = np.lexsort((keys, -similarity[row]))[:k]
-                frames.append(pd.DataFrame({"query_id": name, id: keys[order], "similarity": similarity[row][order]}))
-            yield pd.concat(frames, ignore_index=True)
+            keys = np.broadcast_to(batch[id].to_numpy(), similarity.shape)
+            if best_sim is not None:
+                similarity, keys = np.hstack([best_sim, similarity]), np.hstack([best_id, keys])
+            order = np.lexsort((keys, -similarity), axis=1)[:, :k]
+            best_sim, best_id = np.take_along_axis(similarity, order, 1), np.take_along_axis(keys, order, 1)
+        if best_sim is not None:
+            each = best_sim.shape[1]
+            yield pd.DataFrame({
+                "query_id": [name for name in ids for _ in range(each)], id: best_id.ravel(), "similarity": best_sim.ravel()})
 
     return corpus.select(id, vector).mapInPandas(run, schema)
 
@@ -98,7 +102,7 @@ def top_k(
     """Exact cosine top-k of every query over the whole corpus.
 
     The corpus is never shuffled: each task multiplies its batches with a
-    block of queries and keeps k rows per query and batch; a ranked window over
+    block of queries and keeps k rows per query and partition; a ranked window over
     those few rows finishes.  Queries are counted first; more than ``block`` of
     them are worked off in several blocks of bounded size.
     """
@@ -161,19 +165,22 @@ def approximate_top_k(
     model = hasher.fit(probe)
 
     def hashed(d: DataFrame, key: str, name: str) -> DataFrame:
-        out = model.transform(unit(d)).select(F.col(key), F.col(vector).alias(name), "_h")
+        out = model.transform(unit(d)).select(F.col(key).alias(name), "_h")
         bucket = F.transform("_h", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("int"))
-        return out.select(key, name, F.posexplode(bucket).alias("_table", "_bucket"))
+        return out.select(name, F.posexplode(bucket).alias("_table", "_bucket"))
 
-    asked = hashed(queries, query_id, "_q").withColumnRenamed(query_id, "query_id")
-    stored = hashed(corpus, id, "_c")
+    # Only ids meet in the buckets; each pair is scored once, with its vectors fetched afterwards.
+    asked, stored = hashed(queries, query_id, "query_id"), hashed(corpus, id, id)
     if queries.count() <= max_queries:
         pairs = stored.join(F.broadcast(asked), ["_table", "_bucket"])
     else:
         from .skew import lookup_join
 
         pairs = lookup_join(stored, asked, ["_table", "_bucket"], "inner")
-    scored = pairs.select("query_id", id, F.round(cosine(F.col("_q"), F.col("_c")), 9).alias("similarity")).distinct()
+    pairs = pairs.select("query_id", id).distinct()
+    met = pairs.join(corpus.select(id, F.col(vector).alias("_c")), id).join(
+        queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q")), "query_id")
+    scored = met.select("query_id", id, F.round(cosine(F.col("_q"), F.col("_c")), 9).alias("similarity"))
     return _rank(scored, id, k)
 
 

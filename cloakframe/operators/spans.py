@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..catalog import KEYWORD_PREFIX_LABELS
-from ..functions.arrays import folded_in_runs, last, let, replace_last, text_slice
+from ..functions.arrays import block_slice, folded_in_runs, highest_before, last, let, replace_last, text_blocks
 
 SPAN = "struct<start:int,end:int,label:string,score:double,source:string>"
 SPANS = f"array<{SPAN}>"
@@ -76,8 +76,8 @@ def merge_near(spans: Column, gap: int = 1) -> Column:
     return folded_in_runs(spans, lambda run: F.aggregate(run, no_spans(), step), gap)
 
 
-def trim_prefix(text: Column, s: Column, may_trim: Column) -> Column:
-    """Move a start past the last blank, else colon, else hyphen, if something is left."""
+def trim_prefix(blocks: Column, s: Column, may_trim: Column) -> Column:
+    """Move a start past the last blank, else colon, else hyphen, if something is left; the text comes in blocks."""
 
     def cut(value: Column) -> Column:
         size = F.length(value)
@@ -88,7 +88,7 @@ def trim_prefix(text: Column, s: Column, may_trim: Column) -> Column:
             moved = F.when(tail > 0, size - tail).otherwise(moved)
         return s["start"] + F.coalesce(moved, F.lit(0))
 
-    start = F.when(may_trim, let(text_slice(text, s["start"], s["end"]), cut)).otherwise(s["start"])
+    start = F.when(may_trim, let(block_slice(blocks, s["start"], s["end"]), cut)).otherwise(s["start"])
     return span(start, s["end"], s["label"], s["score"], s["source"])
 
 
@@ -116,8 +116,27 @@ def join_pieces(spans: Column) -> Column:
 
 
 def not_covered(spans: Column, rules: Column) -> Column:
-    """Spans that share no character with any rule span."""
-    return F.filter(spans, lambda m: ~F.exists(rules, lambda r: overlaps(m, r)))
+    """Spans that share no character with any rule span, in order.
+
+    Rule spans sorted by start among the ends of the others: a span is covered
+    if some rule that starts before its end also ends after its start.
+    """
+    none = F.lit(None).cast(SPAN)
+    points = F.concat(
+        F.transform(rules, lambda r: F.struct(r["start"].alias("at"), F.lit(1).alias("kind"), r["end"].alias("end"), none.alias("span"))),
+        F.transform(spans, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("end"), m.alias("span"))),
+    )
+
+    def free(b: Column) -> Column:
+        kept = F.transform(b["p"], lambda p, i: F.when((p["kind"] == 0) & (F.get(b["reach"], i) <= p["span"]["start"]), p["span"]))
+        return F.sort_array(F.filter(kept, lambda s: s.isNotNull()))
+
+    def reached(p: Column) -> Column:
+        return F.struct(p.alias("p"), highest_before(F.transform(p, lambda x: x["end"])).alias("reach"))
+
+    return F.when(F.size(spans) == 0, no_spans()).when(F.size(rules) == 0, spans).otherwise(
+        let(let(F.sort_array(points), reached), free)
+    )
 
 
 def splice(text: Column, spans: Column, piece) -> Column:
@@ -128,11 +147,11 @@ def splice(text: Column, spans: Column, piece) -> Column:
 
         def part(s: Column, i: Column) -> Column:
             before = F.when(i == 0, F.lit(0)).otherwise(F.get(items, i - 1)["end"])
-            return F.concat(text_slice(body, before, s["start"]), piece(s))
+            return F.concat(block_slice(body, before, s["start"]), piece(s))
 
-        tail = text_slice(body, last(items)["end"], F.length(body))
+        tail = block_slice(body, last(items)["end"], bound["size"])
         return F.concat(F.array_join(F.transform(items, part), ""), tail)
 
     return F.when(F.size(spans) == 0, text).otherwise(
-        let(F.struct(text.alias("text"), spans.alias("spans")), build)
+        let(F.struct(text_blocks(text).alias("text"), spans.alias("spans"), F.length(text).alias("size")), build)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import crypto
-from ..functions.arrays import built_once, exploded, let, text_slice
+from ..functions.arrays import block_slice, built_once, exploded, let, text_blocks
 from ..functions.text import sanitize
 from ..session import cut_lineage
 from . import detect as D
@@ -39,7 +39,7 @@ def _entities(text: Column, merged: Column) -> Column:
             bound["m"],
             lambda s: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"),
-                s["source"].alias("source"), text_slice(bound["t"], s["start"], s["end"]).alias("value"),
+                s["source"].alias("source"), block_slice(bound["t"], s["start"], s["end"]).alias("value"),
                 token_label(s["label"]).alias("short"),
             ),
         )
@@ -73,7 +73,7 @@ def _entities(text: Column, merged: Column) -> Column:
 
         return let(bound, build)
 
-    bound = F.struct(text.alias("t"), merged.alias("m"))
+    bound = F.struct(text_blocks(text).alias("t"), merged.alias("m"))
     return F.when(F.size(merged) == 0, F.array().cast(f"array<{ENTITY}>")).otherwise(
         let(let(bound, valued), unified).cast(f"array<{ENTITY}>")
     )
@@ -229,23 +229,29 @@ def encrypted_map(token_rows_df: DataFrame, key: Column) -> DataFrame:
 
 
 def run_statistics(df: DataFrame, scope: list[str], text: str = "text", entities: str = "entities") -> DataFrame:
-    """Per scope and in total: units, characters, replacements and distinct values.
+    """Per scope and in total: units, characters, replacements and distinct values; ``is_total`` marks the total.
 
-    Distinct values are counted from (scope, value) pairs that are made unique
-    first, so a large scope is never one task.  The total adds up the scopes.
+    The input is read and detected once: each unit becomes its values and one
+    row without a value that carries its length.  Grouping by (scope, value)
+    first keeps a large scope from being one task.  The total adds up the scopes.
     """
-    units = df.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("units"), F.sum(F.length(text)).alias("chars"),
-        F.sum(F.size(entities)).alias("replacements"),
+    whole = F.struct(F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("unit"), F.length(text).cast("long").alias("chars"))
+    pieces = F.transform(
+        entities,
+        lambda e: F.struct(e["value"].alias("value"), F.lit(0).cast("long").alias("unit"), F.lit(0).cast("long").alias("chars")),
     )
-    values = (
-        token_rows(df, scope, entities).select(*scope, "value").distinct()
-        .groupBy(*scope).agg(F.count(F.lit(1)).alias("unique_values"))
+    rows = exploded(df, scope, F.concat(F.array(whole), pieces), "p")
+    values = rows.groupBy(*scope, F.col("p.value").alias("_value")).agg(
+        F.sum("p.unit").alias("units"), F.sum("p.chars").alias("chars"), F.count(F.lit(1)).alias("_n"))
+    found = F.col("_value").isNotNull()
+    per_scope = values.groupBy(*scope).agg(
+        F.sum("units").alias("units"), F.sum("chars").alias("chars"),
+        F.sum(F.when(found, F.col("_n")).otherwise(F.lit(0))).alias("replacements"), F.count("_value").alias("unique_values"),
     )
-    per_scope = units.join(values, scope, "left").na.fill(0, ["unique_values"])
-    return per_scope.rollup(*scope).agg(
-        *[F.sum(c).alias(c) for c in ("units", "chars", "replacements", "unique_values")]
-    ).filter(F.grouping_id().isin(0, (1 << len(scope)) - 1))
+    sums = [F.sum(c).alias(c) for c in ("units", "chars", "replacements", "unique_values")]
+    kind = F.grouping_id()
+    total = (1 << len(scope)) - 1
+    return per_scope.rollup(*scope).agg(*sums, (kind == total).alias("is_total")).filter(kind.isin(0, total))
 
 
 def collisions(token_rows_df: DataFrame, scope: list[str]) -> DataFrame:

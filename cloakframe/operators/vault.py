@@ -8,7 +8,8 @@ large share of all tokens never ends up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
@@ -17,6 +18,10 @@ from .skew import lookup_join
 KEY = ["scope_type", "scope_id", "token"]
 VALUES = ["ciphertext", "key_id", "filename", "written_at"]
 COLUMNS = KEY + VALUES
+STORED = ("scope_type string, scope_id string, token string, ciphertext binary, key_id string, filename string, "
+          "written_at timestamp, bucket int")
+BUCKETS = 256
+TASKS_OF_A_BUCKET = 4  # a bucket is written by so many tasks, whatever a single scope in it holds
 
 
 def vault_rows(
@@ -38,8 +43,64 @@ def upsert(existing: DataFrame, writes: DataFrame) -> DataFrame:
     """
     both = existing.select(*COLUMNS, F.lit(0).alias("_new")).unionByName(writes.select(*COLUMNS, F.lit(1).alias("_new")))
     newest = F.struct("written_at", "_new", "key_id", "filename", "ciphertext")
-    kept = both.groupBy(*KEY).agg(F.max_by(F.struct(*VALUES), newest).alias("_row"))
-    return kept.select(*KEY, "_row.*")
+    kept = both.groupBy(*KEY).agg(F.max(newest).alias("_row"))
+    return kept.select(*KEY, *[F.col(f"_row.{name}").alias(name) for name in VALUES])
+
+
+def file_log(writes: DataFrame) -> DataFrame:
+    """Which session was written last for each file, from the writes themselves.
+
+    Kept beside the vault: merging tokens loses the older file names of a token.
+    """
+    rows = writes.filter((F.col("scope_type") == "session") & F.col("filename").isNotNull())
+    last = rows.groupBy("filename", "scope_type", "scope_id").agg(F.max("written_at").alias("written_at"))
+    return last.select("scope_type", "scope_id", "filename", "written_at")
+
+
+def bucket_of(scope_type: Column, scope_id: Column, buckets: int = BUCKETS) -> Column:
+    """The folder of the stored vault that a scope lies in."""
+    return F.pmod(F.xxhash64(scope_type, scope_id), F.lit(buckets)).cast("int")
+
+
+def store(spark: SparkSession, writes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Merge writes into the stored vault at ``path`` (``tokens`` by scope bucket, ``files`` as a log).
+
+    Only the buckets that the writes touch are read and replaced; an
+    interrupted run leaves the old buckets, and a repeated one gives the same
+    rows.  One writer at a time.
+    """
+    placed = writes.select(*COLUMNS).withColumn("bucket", bucket_of(F.col("scope_type"), F.col("scope_id"), buckets))
+    kept = read_stored(spark, path)
+    merged = writes.select(*COLUMNS)
+    if kept is not None:
+        touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        merged = kept.filter(F.col("bucket").isin(touched)).select(*COLUMNS)
+    merged = upsert(merged, writes)
+    out = merged.withColumn("bucket", bucket_of(F.col("scope_type"), F.col("scope_id"), buckets))
+    spread = out.repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(TASKS_OF_A_BUCKET)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/tokens")
+    file_log(writes).write.mode("append").parquet(f"{path}/files")
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored vault; None where nothing was stored yet."""
+    try:
+        return spark.read.schema(STORED).parquet(f"{path}/tokens")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def stored_map(spark: SparkSession, path: str, scope_id, scope_type: str = "session", buckets: int = BUCKETS) -> DataFrame:
+    """Full map of one scope from the stored vault; only its bucket is read."""
+    bucket = bucket_of(F.lit(scope_type), F.lit(str(scope_id)), buckets)
+    return token_map(spark.read.schema(STORED).parquet(f"{path}/tokens").filter(F.col("bucket") == bucket), str(scope_id), scope_type)
+
+
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """The file log of the stored vault, for :func:`session_of_file`."""
+    return spark.read.parquet(f"{path}/files")
 
 
 def sessions(vault: DataFrame) -> DataFrame:
@@ -138,7 +199,9 @@ def key_requests(requests: DataFrame, datasets: DataFrame, keys: DataFrame) -> D
     first = valid.filter("_valid").groupBy("dataset_id").agg(F.min("request_id").alias("_first"))
     known = datasets.select("dataset_id", F.lit(True).alias("_known"))
     keyed = keys.select("dataset_id", F.lit(True).alias("_keyed")).distinct()
-    joined = valid.join(known, "dataset_id", "left").join(keyed, "dataset_id", "left").join(first, "dataset_id", "left")
+    joined = valid
+    for facts in (known, keyed, first):
+        joined = lookup_join(joined, facts, ["dataset_id"])
     outcome = (
         F.when(F.col("aes_key").isNull(), "invalid_hex").when(~F.col("_valid"), "bad_length")
         .when(F.col("_known").isNull(), "dataset_not_found")

@@ -125,7 +125,7 @@ for _kind in CH.KINDS:
         "c_custkey", F.to_json("messages").alias("messages")))
 query("chat_examples")(lambda s, d: CH.chat_examples(_tokenized_records(s, d), "c_custkey").select(
     "c_custkey", "example_no", "kind", F.to_json("messages").alias("messages")))
-SPLIT = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= greatest(1, CAST(floor(count(*) OVER () * 0.9 + 1e-9) AS BIGINT)) THEN 'train' ELSE 'val' END AS split FROM documents"
+SPLIT = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= greatest(1, CAST(floor(count(*) OVER () * CAST(0.9 AS DOUBLE)) AS BIGINT)) THEN 'train' ELSE 'val' END AS split FROM documents"
 query("exact_split", SPLIT)(lambda s, d: CH.exact_split(table(s, d, "documents").select("doc_id"), ["doc_id"]))
 query("split_statistics", f"SELECT split, count(*) AS n FROM ({SPLIT}) GROUP BY 1")(
     lambda s, d: CH.split_statistics(CH.exact_split(table(s, d, "documents").select("doc_id"), ["doc_id"])))
@@ -168,7 +168,7 @@ query("new_chunks", f"WITH {CHUNKS} SELECT k || '_' || i AS chunk_id FROM ch WHE
     lambda s, d: RT.new_chunks(_chunks(s, d), rel(s, d, INDEXED)).select("chunk_id"))
 query("index_counts", f"WITH {CHUNKS}, x AS ({INDEXED.replace('{customer}', 'customer')}) SELECT (SELECT count(*) FROM x) AS before, count(*) AS added, (SELECT count(*) FROM x) + count(*) AS after FROM ch WHERE k || '_' || i NOT IN (FROM x)")(
     lambda s, d: RT.index_counts(rel(s, d, INDEXED), RT.new_chunks(_chunks(s, d), rel(s, d, INDEXED))))
-query("embedded_chunks")(lambda s, d: _embedded(s, d).select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")))
+query("embedded_chunks", f"WITH {CHUNKS} SELECT k || '_' || i AS chunk_id, CAST(1.0 AS DOUBLE) AS norm FROM ch")(lambda s, d: _embedded(s, d).select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")))
 
 
 def _embedded(s, d):
@@ -205,8 +205,9 @@ def _approximate(s, d):
     return RT.approximate_top_k(em, _mean_vectors(em), "vec_id", "label", tables=12, width=0.15)
 
 
-query("approximate_top_k")(lambda s, d: _approximate(s, d))
-query("approximate_recall")(lambda s, d: RT.recall(_top(s, d), _approximate(s, d), "vec_id"))
+query("approximate_top_k", f"WITH {TOP} SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM top")(
+    lambda s, d: _approximate(s, d).withColumn("similarity", F.round("similarity", 6)))
+query("approximate_recall", f"WITH {TOP} SELECT count(*) AS wanted, count(*) AS found, CAST(1.0 AS DOUBLE) AS recall FROM top")(lambda s, d: RT.recall(_top(s, d), _approximate(s, d), "vec_id"))
 
 # Chat events in batch form.
 CHUNK_ROWS = "SELECT cast(conv_id AS string) AS session_id, cast(turn AS bigint) AS seq, text || ' ' AS content, role = 'assistant' AS done FROM {conversations}"

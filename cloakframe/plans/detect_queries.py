@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..functions import crypto
 from ..functions.arrays import exploded
+from ..functions.sql import register, tokenized_view
 from ..operators import detect as D
 from ..operators import spans as S
 from ..operators import tagger as TG
 from ..operators import tokenize as T
 from . import sqltext as Q
 from . import texts as X
-from .registry import customer_texts, documents, joined, query, rel, table
+from .registry import customer_texts, documents, joined, query, rel, spread, table
 
 DOCS = "SELECT doc_id AS id, text FROM documents"
 
@@ -212,6 +213,29 @@ SELECT scope, value, first(label ORDER BY id) AS label FROM per_unit GROUP BY 1,
         T.with_entities(D.with_rule_spans(customer_texts(s, d, X.ALL_TEXT, "c_nationkey as scope"))), ["scope"], "id"
     ).withColumnRenamed("_label", "label"))
 
+# One number per nation, labelled as an account by even customers and as a passport by odd ones.
+CONFLICT_TEXT = ("CASE WHEN c_custkey % 2 = 0 THEN 'Account #' ELSE 'passport ' END || '4123456' || lpad(cast(c_nationkey AS string), 2, '0') "
+                 "|| ' and mail n' || c_nationkey || '@example.org'")
+CONFLICTS = f"SELECT c_custkey AS id, {CONFLICT_TEXT} AS text FROM customer"
+CONFLICTING = SCOPED.replace(Q.detection(C.CATALOGUE, ALL), Q.detection(C.CATALOGUE, CONFLICTS))
+
+
+def _conflicting(s, d):
+    rows = rel(s, d, f"SELECT c_custkey AS id, c_nationkey AS scope, {CONFLICT_TEXT} AS text FROM {{customer}}")
+    return T.with_entities(D.with_rule_spans(spread(rows)))
+
+
+query("label_conflicts_of_numbers", f"""WITH {CONFLICTING}, per_unit AS (SELECT DISTINCT scope, id, value,
+  last_value(own) OVER (PARTITION BY id, value ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label FROM valued)
+SELECT scope, value, first(label ORDER BY id) AS label FROM per_unit GROUP BY 1, 2 HAVING count(DISTINCT label) > 1""")(
+    lambda s, d: T.label_conflicts(_conflicting(s, d), ["scope"], "id").withColumnRenamed("_label", "label"))
+for _name, _options in {
+    "tokenize_conflicts_broadcast": {}, "tokenize_conflicts_joined": {"in_memory": 0},
+    "tokenize_conflicts_salted": {"in_memory": 0, "plain_bytes": 0, "min_rows": 2},
+}.items():
+    query(_name, f"WITH {CONFLICTING} SELECT id, tokenized FROM spliced")(
+        lambda s, d, o=_options: T.with_tokenized(T.with_shared_labels(_conflicting(s, d), ["scope"], "id", **o)).select("id", "tokenized"))
+
 query("tokenize_structs", "WITH " + Q.tokenization(C.CATALOGUE, "SELECT event_id AS id, event_type || ' by 10.0.' || (user_id % 256) || '.9 k ' || props AS text FROM events") +
       " SELECT id, user_id, tokenized AS text FROM spliced JOIN events ON event_id = id")(
     lambda s, d: _struct_rows(table(s, d, "events")))
@@ -230,7 +254,7 @@ query("run_statistics", f"""WITH {DOC_TOKENS},
 u AS (SELECT source, count(*) AS units, sum(length(text)) AS chars FROM documents GROUP BY 1),
 t AS (SELECT source, count(*) AS replacements, count(DISTINCT value) AS unique_values FROM tokens JOIN documents ON doc_id = id GROUP BY 1),
 p AS (SELECT source, units, CAST(chars AS BIGINT) AS chars, coalesce(replacements, 0) AS replacements, coalesce(unique_values, 0) AS unique_values FROM u LEFT JOIN t USING (source))
-SELECT * FROM p UNION ALL SELECT NULL, CAST(sum(units) AS BIGINT), CAST(sum(chars) AS BIGINT), CAST(sum(replacements) AS BIGINT), CAST(sum(unique_values) AS BIGINT) FROM p""")(
+SELECT *, false AS is_total FROM p UNION ALL SELECT NULL, CAST(sum(units) AS BIGINT), CAST(sum(chars) AS BIGINT), CAST(sum(replacements) AS BIGINT), CAST(sum(unique_values) AS BIGINT), true FROM p""")(
     lambda s, d: T.run_statistics(T.tokenize(documents(s, d)), ["source"]))
 
 MESSAGE = "'[' || conv_id || '] ' || text || ' reach ' || role || conv_id || '@example.org, SSN 123-45-' || lpad(cast(1000 + turn as string), 4, '0') || '  '"
@@ -243,8 +267,35 @@ query("token_collisions", """WITH p AS (SELECT DISTINCT o_custkey AS scope, '[ID
 SELECT scope, token, count(*) AS n_values, min(value) AS first_value, max(value) AS last_value FROM p GROUP BY 1, 2 HAVING count(*) > 1""")(
     lambda s, d: T.collisions(rel(s, d, "SELECT o_custkey AS scope, '[ID_' || substr(md5(o_orderpriority), 1, 8) || ']' AS token, cast(o_orderkey AS string) AS value FROM {orders}"), ["scope"]))
 
-_EXTRA = C.add_rule(C.CATALOGUE, C.Rule("CUSTOMER_NO", "customer_no", r"\bCustomer#\d{9}\b", 0.97, ("customer#",), 8))
+_EXTRA = C.add_rule(C.CATALOGUE, C.Rule("CUSTOMER_NO", "customer_no", r"\bCustomer#\d{9}\b", 0.97))
 query("added_recognizer", "WITH " + Q.tokenization(_EXTRA, "SELECT c_custkey AS id, c_name || ' of ' || c_mktsegment || ' pays 12-' || lpad(cast(c_custkey AS VARCHAR), 7, '0') AS text FROM customer") +
       " SELECT id, tokenized FROM spliced")(
     lambda s, d: T.tokenize(table(s, d, "customer").selectExpr(
         "c_custkey as id", "c_name || ' of ' || c_mktsegment || ' pays 12-' || lpad(cast(c_custkey as string), 7, '0') as text"), rules=_EXTRA).select("id", "tokenized"))
+
+# A rule of the caller's own with its own context words: the score is raised only in one market segment.
+_HELD = C.add_rule([], C.Rule("ORDER_NO", "order_no", r"\bno \d{9}\b", 0.3, context=("machinery",)))
+_HELD_TEXT = "c_mktsegment || ' no ' || lpad(cast({k} AS {t}), 9, '0')"
+query("recognizer_with_context", f"SELECT c_custkey AS id, length(c_mktsegment) + 1 AS start, CASE WHEN c_mktsegment = 'MACHINERY' THEN 0.65 ELSE 0.3 END AS score FROM customer")(
+    lambda s, d: short_rows(D.with_rule_spans(table(s, d, "customer").selectExpr(
+        "c_custkey as id", _HELD_TEXT.format(k="c_custkey", t="string") + " as text"), rules=_HELD), "spans").select("id", "start", "score"))
+
+
+def _by_sql(s, d):
+    register(s)
+    return rel(s, d, "SELECT c_custkey AS id, pii_token('EMAIL_ADDRESS', c_name) AS token, pii_label('LOC') AS label, "
+               "array_join(pii_tokens('a ' || pii_token('PERSON', c_name) || ' b ' || pii_token('LOC', c_mktsegment)), ',') AS tokens FROM {customer}")
+
+
+query("sql_functions", f"""WITH {Q.norm_table()}, n AS (SELECT max(short) FILTER (WHERE label = 'EMAIL_ADDRESS') AS mail, max(short) FILTER (WHERE label = 'PERSON') AS person, max(short) FILTER (WHERE label = 'LOC') AS loc FROM norm)
+SELECT c_custkey AS id, '[' || mail || '_' || substr(md5(c_name), 1, 8) || ']' AS token, loc AS label,
+  '[' || coalesce(person, 'PERSON') || '_' || substr(md5(c_name), 1, 8) || '],[' || loc || '_' || substr(md5(c_mktsegment), 1, 8) || ']' AS tokens FROM customer, n""")(_by_sql)
+
+
+def _by_view(s, d):
+    documents(s, d).createOrReplaceTempView("cloakframe_documents")
+    tokenized_view(s, "cloakframe_documents", "cloakframe_tokenized")
+    return s.sql("SELECT id, tokenized FROM cloakframe_tokenized")
+
+
+query("sql_view", f"WITH {DOC_TOKENS} SELECT id, tokenized FROM spliced")(_by_view)

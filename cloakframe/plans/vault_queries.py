@@ -196,3 +196,13 @@ query("history_until", "SELECT e.event_id, e.user_id AS session_id FROM events e
     lambda s, d: A.history_until(
         rel(s, d, "SELECT event_id, user_id AS session_id, ts AS created_at FROM {events}"),
         rel(s, d, "SELECT user_id AS session_id, max(ts) AS until FROM {events} WHERE event_type = 'purchase' GROUP BY 1")).select("event_id", "session_id"))
+query("numbered_history", "SELECT event_id AS message_id, user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events")(
+    lambda s, d: A.numbered_history(rel(s, d, "SELECT event_id AS message_id, user_id AS session_id, ts AS created_at FROM {events}")).select("message_id", "session_id", "position"))
+query("history_of_messages", """WITH n AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events)
+SELECT a.event_id AS asked_id, b.event_id AS message_id, b.p AS place FROM n a JOIN n b ON a.user_id = b.user_id AND b.p < a.p WHERE a.event_type = 'purchase'""")(
+    lambda s, d: _history_of(s, d))
+
+
+def _history_of(s, d):
+    rows = rel(s, d, "SELECT event_id AS message_id, user_id AS session_id, ts AS created_at, event_type FROM {events}")
+    return A.history_of(A.numbered_history(rows.drop("event_type")), rows.filter("event_type = 'purchase'")).select("asked_id", "message_id", "place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,16 @@ def local_session(app: str = "cloakframe", cpus: int | None = None, memory: str
     )
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; a local one only where none is named and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="cloakframe-run-")
+    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; a local one only where none is set and all runs on one machine."""
     spark = df.sparkSession

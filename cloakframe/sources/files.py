@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, record_title, tokenized_name
@@ -11,45 +11,70 @@ from ..operators.skew import running_totals
 from . import schemas
 
 
+FILE = ["file_path", "file_name"]  # the whole path names a file; the name alone may occur in many folders
+
+
+def _file_columns() -> list[Column]:
+    """Decoded path and name of the file a row came from (the scan gives percent-encoded paths)."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return [path.alias("file_path"), base_name(path).alias("file_name")]
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a dense ``unit_no`` per file.
+    """Lines with a dense ``unit_no`` per file (``file_path``, ``file_name``).
 
     Files are split by the scan, so a very large file is read by many tasks;
     line numbers come from per-block counts.  Malformed bytes become U+FFFD.
+    Only the line feed ends a line: a carriage return before it stays in the
+    text, so that written files have the line ends of the read ones.
     """
-    rows = spark.read.text(path).select(
-        base_name(F.col("_metadata.file_path")).alias("file_name"), F.col("_metadata.file_block_start").alias("_block"),
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        *_file_columns(), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"), F.make_valid_utf8("value").alias("text"),
     )
-    numbered = running_totals(rows, ["file_name"], [F.col("_row")], F.col("_block"), F.lit(1), "unit_no")
-    return numbered.select("file_name", F.col("unit_no").cast("long").alias("unit_no"), "text")
+    numbered = running_totals(rows, FILE, [F.col("_row")], F.col("_block"), F.lit(1), "unit_no")
+    return numbered.select(*FILE, F.col("unit_no").cast("long").alias("unit_no"), "text")
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One row per file of a folder."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
-    return rows.select(
-        base_name(F.col("_metadata.file_path")).alias("file_name"), F.make_valid_utf8("value").alias("text")
-    )
+    return rows.select(*_file_columns(), F.make_valid_utf8("value").alias("text"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path).withColumn("record_title", record_title(F.col("file_name")))
 
 
-def read_json_units(spark: SparkSession, path: str) -> DataFrame:
+def _json_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """One row per JSON file: its text and its parsed document, NULL where it does not parse."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
+        *_file_columns(), F.make_valid_utf8("value").alias("text"), F.try_parse_json(F.make_valid_utf8("value")).alias("doc")
+    )
+
+
+def rejected_json(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Files that hold no valid JSON, with their text; :func:`read_json_units` leaves them out."""
+    return _json_files(spark, path, pattern).filter(F.col("doc").isNull()).select(*FILE, "text")
+
+
+def json_file_counts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """How many files of a run succeeded and failed."""
+    bad = F.col("doc").isNull()
+    return _json_files(spark, path, pattern).agg(F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"))
+
+
+def read_json_units(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """JSON files as text units.
 
     A list gives one unit per item: strings and objects with a ``text`` are
     units, other items pass through (``text`` is NULL).  A single object with
     ``text`` is one unit.  Anything else is one unit holding its JSON text.
     ``shape`` is ``list``, ``object`` or ``raw``; ``item`` is the item as a
-    variant and ``in_object`` says whether the text is a field of it.
+    variant and ``in_object`` says whether the text is a field of it.  Files
+    that do not parse end no job; they are the rows of :func:`rejected_json`.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
-        base_name(F.col("_metadata.file_path")).alias("file_name"),
-        F.parse_json(F.make_valid_utf8("value")).alias("doc"),
-    )
+    files = _json_files(spark, path, pattern).filter(F.col("doc").isNotNull()).drop("text")
     kind = F.schema_of_variant("doc")
     shaped = files.withColumn(
         "shape",
@@ -59,9 +84,9 @@ def read_json_units(spark: SparkSession, path: str) -> DataFrame:
     )
     items = shaped.filter("shape = 'list'").lateralJoin(
         spark.tvf.variant_explode(F.col("doc").outer())
-    ).select("file_name", F.col("pos").cast("long").alias("unit_no"), "shape", F.col("value").alias("item"))
+    ).select(*FILE, F.col("pos").cast("long").alias("unit_no"), "shape", F.col("value").alias("item"))
     whole = shaped.filter("shape <> 'list'").select(
-        "file_name", F.lit(0).cast("long").alias("unit_no"), "shape", F.col("doc").alias("item")
+        *FILE, F.lit(0).cast("long").alias("unit_no"), "shape", F.col("doc").alias("item")
     )
     units = items.unionByName(whole)
     item_kind = F.schema_of_variant("item")
@@ -97,18 +122,14 @@ def rebuilt_item(units: DataFrame, tokenized: str = "tokenized", out: str = "out
 def tokenize_json(spark: SparkSession, path: str, **options) -> DataFrame:
     """Tokenize the units of JSON files; one token per value over all units of a file."""
     units = read_json_units(spark, path)
-    filled = units.withColumn("text", F.coalesce("text", F.lit("")))
-    made = T.tokenize(filled, scope=["file_name"], unit="unit_no", **options)
-    absent = units.select("file_name", "unit_no", F.col("text").isNull().alias("_absent"))
-    joined = made.join(absent, ["file_name", "unit_no"], "left").withColumn(
-        "tokenized", F.when(F.col("_absent"), F.lit(None)).otherwise(F.col("tokenized"))
-    )
-    return rebuilt_item(joined.drop("_absent"))
+    filled = units.withColumn("absent", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit("")))
+    made = T.tokenize(filled, scope=["file_path"], unit="unit_no", **options)
+    return rebuilt_item(made.withColumn("tokenized", F.when(~F.col("absent"), F.col("tokenized"))).drop("absent"))
 
 
 def tokenize_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """Tokenize text files line by line with one token per value and file."""
-    return T.tokenize(read_lines(spark, path), scope=["file_name"], unit="unit_no", **options)
+    return T.tokenize(read_lines(spark, path), scope=["file_path"], unit="unit_no", **options)
 
 
 def read_annotated(spark: SparkSession, path: str, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -147,21 +168,32 @@ def write_examples(df: DataFrame, path: str) -> None:
     df.select("split", "messages").write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_tokenized_lines(df: DataFrame, path: str) -> None:
-    """Tokenized lines in order, one folder per source file.
+LINES_OF_A_PART = 1 << 20
+
 
-    Rows are range-partitioned by (file, line), so one large file is written by many tasks.
+def _write_in_order(df: DataFrame, value: str, path: str) -> None:
+    """One folder ``output_name=`` per source file, and in it one folder per block of lines.
+
+    Blocks are hashed to tasks: one large file is written by many tasks, and no
+    sampling of ranges evaluates the input a second time.  Files of the same
+    name in different folders come one after the other.
     """
-    named = df.select(tokenized_name(F.col("file_name")).alias("output_name"), "unit_no", F.col("tokenized").alias("value"))
-    ordered = named.repartitionByRange("output_name", "unit_no").sortWithinPartitions("output_name", "unit_no")
-    ordered.drop("unit_no").write.mode("overwrite").partitionBy("output_name").text(path)
+    named = df.select(
+        tokenized_name(F.col("file_name")).alias("output_name"), "file_path", "unit_no",
+        F.lpad(F.floor(F.col("unit_no") / LINES_OF_A_PART).cast("string"), 12, "0").alias("lines"), F.col(value).alias("value"),
+    )
+    ordered = named.repartition("output_name", "lines").sortWithinPartitions("output_name", "lines", "file_path", "unit_no")
+    ordered.drop("unit_no", "file_path").write.mode("overwrite").partitionBy("output_name", "lines").text(path)
+
+
+def write_tokenized_lines(df: DataFrame, path: str) -> None:
+    """Tokenized lines in order, one folder per source file."""
+    _write_in_order(df, "tokenized", path)
 
 
 def write_json_units(df: DataFrame, path: str) -> None:
     """Rebuilt JSON items as JSON lines in order, one folder per source file."""
-    named = df.select(tokenized_name(F.col("file_name")).alias("output_name"), "unit_no", F.col("output").alias("value"))
-    ordered = named.repartitionByRange("output_name", "unit_no").sortWithinPartitions("output_name", "unit_no")
-    ordered.drop("unit_no").write.mode("overwrite").partitionBy("output_name").text(path)
+    _write_in_order(df, "output", path)
 
 
 def export_plain_map(token_rows: DataFrame, path: str, i_know_this_is_plaintext: bool = False) -> None:

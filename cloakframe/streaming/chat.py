@@ -41,18 +41,21 @@ def store_messages(root: str, key: Column, **options) -> Callable[[DataFrame, in
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        made = tokenized_requests(batch, **options)
-        found = T.token_rows(made, ["session_id"])
-        stamp = batch.agg(F.max("ts")).scalar()
-        encrypted = T.encrypted_map(found, key)
-        rows = V.vault_rows(
-            encrypted, F.col("session_id"), F.lit("chat"), F.concat(F.lit("chat:"), F.col("session_id")), stamp
-        )
-        rows.write.mode("overwrite").parquet(f"{root}/vault/batch={batch_id}")
-        made.select(
-            "message_id", "session_id", F.lit("user").alias("role"), F.col("tokenized").alias("content"),
-            F.col("ts").alias("created_at"),
-        ).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
+        made = tokenized_requests(batch, **options).select("message_id", "session_id", "ts", "entities", "tokenized").persist()
+        try:
+            found = T.token_rows(made, ["session_id"])
+            stamp = batch.agg(F.max("ts")).scalar()
+            encrypted = T.encrypted_map(found, key)
+            rows = V.vault_rows(
+                encrypted, F.col("session_id"), F.lit("chat"), F.concat(F.lit("chat:"), F.col("session_id")), stamp
+            )
+            rows.write.mode("overwrite").parquet(f"{root}/vault/batch={batch_id}")
+            made.select(
+                "message_id", "session_id", F.lit("user").alias("role"), F.col("tokenized").alias("content"),
+                F.col("ts").alias("created_at"),
+            ).write.mode("overwrite").parquet(f"{root}/messages/batch={batch_id}")
+        finally:
+            made.unpersist()
 
     return write
 
@@ -127,14 +130,15 @@ class AssembleMessages(StatefulProcessor):
 
 
 class LiveTokens(StatefulProcessor):
-    """Token count of a session; state disappears a fixed time after the last write."""
+    """Token count of a session; all its state goes a fixed time after the last write to any of its tokens."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getMapState("tokens", "token string", "seen boolean", self.ttl_ms)
-        self.count = handle.getValueState("count", "n bigint", self.ttl_ms)
+        self.handle = handle
+        self.tokens = handle.getMapState("tokens", "token string", "seen boolean")
+        self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         total = self.count.get()[0] if self.count.exists() else 0
@@ -143,8 +147,16 @@ class LiveTokens(StatefulProcessor):
                 total += 0 if self.tokens.containsKey((token,)) else 1
                 self.tokens.updateValue((token,), (True,))
         self.count.update((total,))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
         yield pd.DataFrame({"session_id": [key[0]], "token_count": [total]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tokens.clear()
+        self.count.clear()
+        yield pd.DataFrame({"session_id": [key[0]], "token_count": [0]})
+
     def close(self) -> None:
         pass
 
@@ -161,9 +173,10 @@ def assemble_messages(chunks: DataFrame) -> DataFrame:
     )
 
 
-def live_token_counts(token_stream: DataFrame, ttl_days: int = C.VAULT_TTL_DAYS) -> DataFrame:
+def live_token_counts(token_stream: DataFrame, ttl_days: float = C.VAULT_TTL_DAYS) -> DataFrame:
+    """Token count of a session at each change; 0 when it expires, one timer per session."""
     return token_stream.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=LiveTokens(ttl_days * 86_400_000), outputStructType="session_id string, token_count bigint",
+        statefulProcessor=LiveTokens(int(ttl_days * 86_400_000)), outputStructType="session_id string, token_count bigint",
         outputMode="Update", timeMode="ProcessingTime",
     )
 
@@ -183,12 +196,15 @@ def resolve_chunks(
         done = R.resolve(
             staged, vault, "chunk_id", "content", session="session_id", dataset="dataset_id", allowed="allowed", key=key
         )
-        R.audit_rows(done, ["user_id", "dataset_id", "session_id", "seq"], "content").write.mode("overwrite").parquet(
-            f"{root}/audit/batch={batch_id}"
-        )
-        done.select("session_id", "seq", F.col("resolved").alias("content"), "done").write.mode("overwrite").parquet(
-            f"{root}/chunks/batch={batch_id}"
-        )
+        done.persist()  # both outputs come from one join and one decryption
+        try:
+            shown = R.audit_rows(done, ["user_id", "dataset_id", "session_id", "seq"], "content")
+            shown.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{root}/audit/batch={batch_id}")
+            done.select("session_id", "seq", F.col("resolved").alias("content"), "done").write.mode("overwrite").parquet(
+                f"{root}/chunks/batch={batch_id}"
+            )
+        finally:
+            done.unpersist()
 
     return write
 
