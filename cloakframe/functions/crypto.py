@@ -11,6 +11,11 @@ def encrypt(value: Column, key: Column) -> Column:
     return F.aes_encrypt(value.cast("binary"), key, F.lit("GCM"))
 
 
+def sealed(value: Column, key: Column) -> Column:
+    """Ciphertext as base64 on one line (``base64`` alone breaks lines after 76 letters)."""
+    return F.replace(F.base64(encrypt(value, key)), F.lit("\r\n"), F.lit(""))
+
+
 def decrypt(ciphertext: Column, key: Column) -> Column:
     """Plain text, or NULL when key or ciphertext do not fit."""
     usable = F.octet_length(key).isin(16, 24, 32)

@@ -164,10 +164,10 @@ def with_tokenized(df: DataFrame, text: str = "text", entities: str = "entities"
 def with_encrypted(
     df: DataFrame, key: Column, text: str = "text", entities: str = "entities", out: str = "encrypted"
 ) -> DataFrame:
-    """Values replaced in place by base64 ciphertext instead of tokens."""
+    """Values replaced in place by base64 ciphertext (one line each) instead of tokens."""
 
     def build(b: Column) -> Column:
-        return S.splice(b["t"], b["e"], lambda e: F.base64(crypto.encrypt(e["value"], b["k"])))
+        return S.splice(b["t"], b["e"], lambda e: crypto.sealed(e["value"], b["k"]))
 
     bound = F.struct(F.col(text).alias("t"), F.col(entities).alias("e"), key.alias("k"))
     return df.withColumn(out, let(bound, build))

@@ -12,7 +12,7 @@ from ..sources import files
 from .registry import query, rel, table
 from .vault_queries import SESSIONS, UPSERTED, W, _day, _key, _writes
 
-LINES = "SELECT c_nationkey, c_custkey, c_name || ' of ' || c_mktsegment || ', mail c' || c_custkey || '@example.org' AS value FROM {customer}"
+LINES = "SELECT c_nationkey, c_custkey, 'Client of ' || c_mktsegment || ', mail c' || c_custkey || '@example.org' AS value FROM {customer}"
 LINE_SQL = LINES.replace("{customer}", "customer")
 
 
@@ -55,7 +55,7 @@ def _json_folder(spark: SparkSession, folder: str) -> str:
     lists = rel(spark, folder, LINES).groupBy(F.col("c_nationkey").alias("n")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("k"), item.alias("item")))).alias("l"))
     body = F.to_json(F.transform("l", lambda x: x["item"]))
-    lists.select("n", F.when(F.col("n") == 3, F.concat(body, F.lit("]"))).otherwise(body).alias("value")).write.partitionBy("n").text(path)
+    lists.select("n", F.when(F.col("n") == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("value")).write.partitionBy("n").text(path)
     return path
 
 

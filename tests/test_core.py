@@ -332,3 +332,39 @@ def test_many_spans_fold_as_few_do(spark):
             else:
                 near.append(s)
         assert [tuple(x) for x in row.best] == best and [tuple(x) for x in row.near] == near
+
+
+def test_slices_of_long_texts(spark):
+    from cloakframe.functions.arrays import block_slice, text_blocks
+
+    text = "".join(chr(97 + i % 26) if i % 7 else "\U0001f600" for i in range(13_000)) + "\n"
+    places = [(0, 1), (0, 4096), (4095, 4097), (4096, 4096), (100, 12_999), (8192, 8200), (12_999, 13_001), (0, 13_001)]
+    rows = spark.createDataFrame([(text, a, b) for a, b in places], "t string, a int, b int")
+    got = rows.select("a", "b", block_slice(text_blocks(F.col("t")), F.col("a"), F.col("b")).alias("s")).collect()
+    assert {(r.a, r.b): r.s for r in got} == {(a, b): text[a:b] for a, b in places}
+
+
+def test_work_grows_with_the_hits_of_one_text(spark):
+    import time
+
+    def seconds(n):
+        line = "mail a{0}@x.org and bank 4123456{0:05d} "
+        rows = spark.createDataFrame([("".join(line.format(i) for i in range(n // 2)),)], "text string")
+        start = time.perf_counter()
+        made = T.tokenize(rows).select(F.size("entities").alias("n"), F.length("tokenized").alias("size")).first()
+        assert made.n >= n // 2
+        return time.perf_counter() - start
+
+    seconds(4_000)
+    once, twice = seconds(8_000), seconds(16_000)
+    assert twice < 3 * once + 1, (once, twice)
+
+
+def test_added_rules_are_checked(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        C.add_rule([], C.Rule("S3_KEY", "s3", r"\bs3-\d+\b", 0.9))
+    rules = C.add_rule([], C.Rule("TICKET", "ticket", r"\bT-\d{3}\b", 0.9, ("never",), 8))
+    made = T.tokenize(spark.createDataFrame([("see T-123",)], "text string"), rules=rules).first()
+    assert made.tokenized.startswith("see [TICKET_")

@@ -69,7 +69,7 @@ def test_tokenized_lines_written_in_order(spark, tmp_path):
     made = files.tokenize_lines(spark, str(tmp_path / "in"))
     files.write_tokenized_lines(made, str(tmp_path / "out"))
     folder = tmp_path / "out" / "output_name=a_tokenized.txt"
-    text = "".join(f.read_text() for f in sorted(folder.glob("part-*")))
+    text = "".join(f.read_text() for f in sorted(folder.glob("*/part-*")))
     assert text == "first [EMAIL_d249273c]\nsecond\nthird [EMAIL_d249273c]\n"
 
 
@@ -99,3 +99,20 @@ def test_only_published_runs_are_read(spark, tmp_path):
     files.publish("r1", vault, vault, root)
     vault.write.parquet(f"{root}/output/run_id=r2")
     assert [r.run_id for r in files.read_published(spark, root).collect()] == ["r1"]
+
+
+def test_paths_are_decoded_and_name_the_file(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "my 1+1 file.txt").write_bytes(b"one\r\ntwo\n")
+    rows = files.read_lines(spark, str(tmp_path) + "/*").collect()
+    assert sorted((r.file_path[-18:], r.file_name, r.unit_no, r.text) for r in rows) == [
+        (f"/{f}/my 1+1 file.txt", "my 1+1 file.txt", n, t) for f in ("a", "b") for n, t in ((0, "one\r"), (1, "two"))]
+
+
+def test_damaged_json_is_rejected_and_stops_nothing(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(["ann@x.org"]))
+    (tmp_path / "bad.json").write_text("{[")
+    assert [r.file_name for r in files.tokenize_json(spark, str(tmp_path)).collect()] == ["good.json"]
+    assert [(r.file_name, r.text) for r in files.rejected_json(spark, str(tmp_path)).collect()] == [("bad.json", "{[")]
+    assert tuple(files.json_file_counts(spark, str(tmp_path)).first()) == (1, 1)

@@ -94,19 +94,36 @@ def test_assembly_equals_batch_form(spark, tmp_path):
     assert {tuple(r) for r in got} == expected == {tuple(r) for r in batch}
 
 
-def test_live_token_counts(spark, tmp_path):
+def test_live_token_counts_expire_with_the_session(spark, tmp_path):
     path = write_batches(tmp_path / "in", [[{"session_id": "s", "token": "a"}, {"session_id": "s", "token": "b"}], [{"session_id": "s", "token": "a"}]])
     stream = ST.read_stream(spark, path, "session_id string, token string")
     seen = []
     # processing-time state keeps an availableNow run going for ever, so stop it by hand
-    q = ST.live_token_counts(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(
+    q = ST.live_token_counts(stream, ttl_days=15 / 86_400).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(
         lambda batch, _: seen.extend(batch.collect())).trigger(processingTime="1 second").start()
-    for _ in range(60):
-        if len(seen) >= 2 or not q.isActive:
+    for _ in range(90):
+        if any(r.token_count == 0 for r in seen) or not q.isActive:
             break
         time.sleep(1)
     q.stop()
-    assert [r.token_count for r in seen][:2] == [2, 2]
+    # the second write refreshed the whole session, and all of it goes at once
+    assert [r.token_count for r in seen] == [2, 2, 0]
+
+
+def test_value_stored_twice_is_resolved(spark, tmp_path):
+    rows = [{"message_id": f"m{i}", "session_id": "s", "message": "mail ann@x.org", "ts": f"2024-01-01T00:0{i}:00Z"} for i in range(2)]
+    key = F.lit("own-test-key-016").cast("binary")
+    writer = ST.store_messages(str(tmp_path / "out"), key)
+    path = write_batches(tmp_path / "in", [[rows[0]], [rows[1]]])
+    q = ST.read_stream(spark, path, schemas.CHAT_REQUESTS).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(writer).trigger(availableNow=True).start()
+    q.awaitTermination()
+    vault = spark.read.parquet(str(tmp_path / "out" / "vault"))
+    assert vault.count() == 2
+    sessions = spark.createDataFrame([("s", "u", "d", ["*"])], "session_id string, user_id string, dataset_id string, allowed array<string>")
+    chunks = spark.createDataFrame([("s", 0, "to [EMAIL_d249273c]", True)], "session_id string, seq bigint, content string, done boolean")
+    ST.resolve_chunks(str(tmp_path / "done"), vault, sessions, key)(chunks, 0)
+    assert [r.content for r in spark.read.parquet(str(tmp_path / "done" / "chunks")).collect()] == ["to ann@x.org"]
+    assert spark.read.parquet(str(tmp_path / "done" / "audit")).filter("created_at is not null").count() == 1
 
 
 def test_rate_windows_and_duplicates(spark, tmp_path):
