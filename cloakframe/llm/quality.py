@@ -126,11 +126,16 @@ def at_most(k: int, n: int, p: float) -> float:
     """Chance of ``k`` hits or fewer in ``n`` draws at rate ``p`` (exact binomial tail)."""
     if k >= n:
         return 1.0
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-        for i in range(k + 1)
-    ]
-    return min(1.0, math.fsum(math.exp(x) for x in logs))
+    above = k + 1 > n * p  # the shorter tail: its terms fall from the start, so few count even where k is in the millions
+    i = k + 1 if above else k
+    term = math.exp(
+        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while 0 <= i <= n and term > total * 1e-18:
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p) if above else i / (n - i + 1) * (1 - p) / p
+        i += 1 if above else -1
+    return max(0.0, min(1.0, 1.0 - total if above else total))
 
 
 def certified(measured: DataFrame, risk: Risk = Risk()) -> DataFrame:
