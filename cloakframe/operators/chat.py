@@ -219,6 +219,8 @@ def exact_split(df: DataFrame, keys: list[str], train_share: float = 0.9, seed=4
     of the one finer range with the cut (a 16-millionth of all) are ordered to
     find the last train code.  Every row is then compared with that one code:
     no sort of everything, no single-task window, and no join of the rows.
+    The keys must tell rows apart: rows with equal keys fall on one side.  The key
+    columns are read four times.
     """
     code = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
     coded = df.select(code.alias("_code"), F.struct(*[F.col(k) for k in keys]).alias("_keys"))
