@@ -1,9 +1,11 @@
-"""Jaccard join on three-word shingles, size-aware (operator 10).
+"""Jaccard join on word shingles, size-aware (operator 10: three words, 0.9; the pipeline: five words, 0.8).
 
 Documents with equal sets are one class.  A small set lists its subsets of each
 size that a partner would have to share.  A large set is cut by hash into one
 block of tokens more than it may differ from a partner in tokens, so that some
 block is whole in both, and meets others in the inverted lists of its blocks.
+Below 0.9 blocks would hold too few tokens to tell sets apart; then there are
+spare blocks, more are whole in both, and each set leaves out its smallest ones.
 The boundary is where the measured sizes make the sum of keys smallest.
 Members of a list are candidates; inside groups of candidates sets are compared
 exactly, in pairs of bounded blocks, and a set already reached is not compared
@@ -13,6 +15,7 @@ again.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -25,55 +28,62 @@ from . import common as C
 from .components import connected_components
 
 PERCENT = 90
+WIDTH = 3
 LARGEST_LIGHT = 64  # the boundary is looked for up to this size
 BLOCK = 1500  # sets of a block when a group is compared
 _FIRST = -(1 << 63)
 
 
-def overlap_needed(a, b):
-    """Shared tokens that sets of these sizes need: 100 * i >= 90 * (a + b - i)."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+def overlap_needed(a, b, percent=PERCENT):
+    """Shared tokens that sets of these sizes need: 100 * i >= percent * (a + b - i)."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def smallest_partner(n: int) -> int:
-    return -(-PERCENT * n // 100)
+def smallest_partner(n: int, percent: int = PERCENT) -> int:
+    return -(-percent * n // 100)
 
 
-def _levels(limit: int) -> list[int]:
+@lru_cache
+def levels(percent: int, limit: int = 1 << 40) -> list[int]:
     """First size of each level; partners are of one level or of neighbouring ones."""
     out = [1]
     while out[-1] <= limit:
-        out.append(max(out[-1] + 1, -(-100 * out[-1] // PERCENT)))
+        out.append(max(out[-1] + 1, -(-100 * out[-1] // percent)))
     return out
 
 
-LEVELS = _levels(1 << 40)
+def may_differ(scheme: int, percent: int = PERCENT) -> int:
+    """The most tokens in which partners that meet under the scheme differ."""
+    largest = 2 * (levels(percent)[scheme + 1] - 1)
+    return largest * (100 - percent) // (100 + percent)
 
 
-def block_counts(n: int) -> list[tuple[int, int]]:
+def block_counts(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """(scheme, blocks) under which a set of size n is listed.
 
     Scheme ``u`` serves pairs of level ``u`` with itself and the level below;
-    it has a block more than such sets may differ in tokens.
+    it has a block more than such sets may differ in tokens, and below 90 % two
+    spare ones for every three.
     """
-    level = bisect_right(LEVELS, n) - 1
+    level = bisect_right(levels(percent), n) - 1
     out = []
     for u in (level, level + 1):
-        largest = 2 * (LEVELS[u + 1] - 1)
-        out.append((u, largest * (100 - PERCENT) // (100 + PERCENT) + 1))
+        most = may_differ(u, percent)
+        out.append((u, most + 1 + (2 * most // 3 if percent < 90 else 0)))
     return out
 
 
-def subset_sizes(n: int) -> list[int]:
+def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     """Sizes of the common subset with each possible partner."""
-    return sorted({c for b in range(smallest_partner(n), 100 * n // PERCENT + 1) if (c := overlap_needed(n, b)) <= min(n, b)})
+    partners = range(smallest_partner(n, percent), 100 * n // percent + 1)
+    return sorted({c for b in partners if (c := overlap_needed(n, b, percent)) <= min(n, b)})
 
 
-def light_cost(n: int) -> int:
-    return sum(comb(n, c) for c in subset_sizes(n))
+def light_cost(n: int, percent: int = PERCENT) -> int:
+    return sum(comb(n, c) for c in subset_sizes(n, percent))
 
 
-def boundary(sizes: dict[int, int]) -> int:
+def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """The largest small size, chosen by cost: the number of keys that sets of these sizes make.
 
     Large sets only just above the boundary can meet small ones, so sets from
@@ -81,33 +91,50 @@ def boundary(sizes: dict[int, int]) -> int:
     """
 
     def cost(limit: int) -> int:
-        light = sum(k * light_cost(n) for n, k in sizes.items() if n <= limit)
-        return light + sum(k * sum(c for _, c in block_counts(n)) for n, k in sizes.items() if 100 * n > PERCENT * limit)
+        light = sum(k * light_cost(n, percent) for n, k in sizes.items() if n <= limit)
+        return light + sum(k * sum(may_differ(u, percent) + 1 for u, _ in block_counts(n, percent)) for n, k in sizes.items() if 100 * n > percent * limit)
 
-    small = [n for n in range(1, LARGEST_LIGHT + 1) if light_cost(n) <= 1000]
+    small = [n for n in range(1, LARGEST_LIGHT + 1) if light_cost(n, percent) <= 1000]
     return min(small, key=lambda n: (cost(n), n))
 
 
 # --- sets of a chunk ---------------------------------------------------------------------------------------------
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def _grams(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``width`` words in a row of the same text, and the index of the first word."""
+    if width == 3:
+        return C.triples(words, rows)
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.flatnonzero(rows[width - 1 :] == rows[:n])
+    out = words[at]
+    for k in range(1, width):
+        out = out * np.uint64(C._BASE) + C.mix(words[at + k] + np.uint64(k))
+    return C.mix(out), at
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """Per row the sorted hashes of its distinct shingles (A-Z as a-z)."""
     low = C.LOWER[data]
     starts, ends, rows = C.pieces(~C.SPACE[low], offsets)
     words = C.substring_hashes(C.prefix_sums(low), starts, ends)
-    grams, at = C.triples(words, rows)
+    grams, at = _grams(words, rows, width)
     n = len(offsets) - 1
     first = np.searchsorted(rows[at], np.arange(n + 1)).tolist()
     word = np.searchsorted(rows, np.arange(n + 1)).tolist()
     out = []
     for i in range(n):
         size = word[i + 1] - word[i]
-        if size >= 3:
+        if size >= width:
             out.append(np.unique(grams[first[i] : first[i + 1]]))
         elif size:
             mine = words[word[i] : word[i + 1]]
-            out.append(C.mix(mine[:1] * np.uint64(7) + (C.mix(mine[1:]) if size == 2 else np.uint64(0)) + np.uint64(size)))
+            whole = np.array([size], np.uint64)
+            for k in range(size):
+                whole = C.mix(whole * np.uint64(7) + mine[k : k + 1])
+            out.append(whole)
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -117,10 +144,10 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return int(C.mix(tokens).sum(dtype=np.uint64).view(np.int64)), int(C.mix(tokens ^ np.uint64(C._ODD)).sum(dtype=np.uint64).view(np.int64))
 
 
-def light_keys(tokens: np.ndarray) -> np.ndarray:
+def light_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Hashes of all subsets of the needed sizes; a subset is what is left when some tokens go."""
     total, out = tokens.sum(dtype=np.uint64), []
-    for c in subset_sizes(len(tokens)):
+    for c in subset_sizes(len(tokens), percent):
         gone = len(tokens) - c
         if gone == 0:
             sums = np.array([total], np.uint64)
@@ -132,22 +159,28 @@ def light_keys(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of the blocks of tokens under both schemes."""
+def heavy_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the blocks of tokens under both schemes.
+
+    Partners have more whole blocks in common than the spare ones, so one of
+    them is no smaller than the smallest block that either lists.
+    """
     mixed, out = C.mix(tokens + np.uint64(C._ODD)), []
-    for scheme, blocks in block_counts(len(tokens)):
+    for scheme, blocks in block_counts(len(tokens), percent):
         part = ((tokens >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(part)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
         edge = np.searchsorted(part[order], np.arange(blocks + 1))
         names = C.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((scheme * C._BASE) & (2**64 - 1)))
-        out.append(C.mix(sums[edge[1:]] - sums[edge[:-1]] + names))
+        sizes, spare = np.diff(edge), blocks - 1 - may_differ(scheme, percent)
+        listed = sizes >= np.partition(sizes, spare)[spare]
+        out.append(C.mix(sums[edge[1:]] - sums[edge[:-1]] + names)[listed])
     return np.concatenate(out)
 
 
-def _sets(batch, column: int):
+def _sets(batch, column: int, width: int):
     for a, b, data, offsets in C.chunked(batch.column(column)):
-        yield from enumerate(shingle_sets(data, offsets), a)
+        yield from enumerate(shingle_sets(data, offsets, width), a)
 
 
 # --- passes ------------------------------------------------------------------------------------------------------
@@ -157,12 +190,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))
 
 
-def _facts(keyed: DataFrame) -> DataFrame:
+def _facts(keyed: DataFrame, width: int) -> DataFrame:
     """Size and signature of every document's set."""
 
     def work(batches):
         for batch in batches:
-            found = [(len(tokens), *signature(tokens)) for _, tokens in _sets(batch, 2)]
+            found = [(len(tokens), *signature(tokens)) for _, tokens in _sets(batch, 2, width)]
             n, s1, s2 = zip(*found) if found else ((), (), ())
             yield C.columns_batch(doc_id=batch.column(0), tie=batch.column(1), n=pa.array(n, pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()))
 
@@ -186,22 +219,22 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(owners, np.frombuffer(blob, np.uint32, m, 8 + 6 * n + 8 * m))
 
 
-def _postings(keyed: DataFrame, limit: int, buckets: int) -> DataFrame:
+def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: int) -> DataFrame:
     """(bucket, postings): keys and classes, each class once per batch."""
 
     def work(batches):
         for batch in batches:
             keys, owners, seen = [], [], set()
-            for _, tokens in _sets(batch, 2):
+            for _, tokens in _sets(batch, 2, width):
                 sig = signature(tokens) if len(tokens) else None
                 if sig is None or sig in seen:
                     continue
                 seen.add(sig)
                 if len(tokens) <= limit:
-                    keys.append(light_keys(tokens))
+                    keys.append(light_keys(tokens, percent))
                     owners.append(np.full(len(keys[-1]), sig[0], np.int64))
-                if 100 * len(tokens) > PERCENT * limit:
-                    keys.append(heavy_keys(tokens))
+                if 100 * len(tokens) > percent * limit:
+                    keys.append(heavy_keys(tokens, percent))
                     owners.append(np.full(len(keys[-1]), sig[0], np.int64))
             if keys:
                 keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -247,7 +280,7 @@ def forest(n: int, links_of) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(table: pa.Table) -> pa.Table:
+def _verified(table: pa.Table, percent: int) -> pa.Table:
     """Edges between classes of two blocks (or inside one) whose sets are similar."""
     names = table.column("class").to_pylist()
     half = np.asarray(table.column("half").combine_chunks())
@@ -260,7 +293,7 @@ def _verified(table: pa.Table) -> pa.Table:
     crossing = len(np.unique(half)) > 1
 
     def links(i, others):
-        fits = (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])) & (not crossing or half[others] != half[i])
+        fits = (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])) & (not crossing or half[others] != half[i])
         chosen = others[fits]
         hit = np.zeros(len(others), bool)
         if len(chosen):
@@ -268,32 +301,35 @@ def _verified(table: pa.Table) -> pa.Table:
             sizes = n[chosen]
             common = np.add.reduceat(flag[np.concatenate([parts[j] for j in chosen])], np.cumsum(sizes) - sizes)
             flag[parts[i]] = 0
-            hit[np.flatnonzero(fits)] = 100 * common >= PERCENT * (n[i] + sizes - common)
+            hit[np.flatnonzero(fits)] = 100 * common >= percent * (n[i] + sizes - common)
         return hit
 
     pairs = np.array([(names[i], names[j]) for i, j in forest(len(sets), links)], np.int64).reshape(-1, 2)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
-    Two documents link at a Jaccard similarity of 0.9 or more of their sets of
-    distinct three-word shingles; with one or two words the whole text is the
-    only shingle; without words (or text) a document links with nothing.  Equal
-    rows are linked like any others.  A NULL id counts as the smallest.
+    Two documents link at a Jaccard similarity of ``percent`` hundredths or more
+    of their sets of distinct shingles of ``width`` words; with fewer words the
+    whole text is the only shingle; without words (or text) a document links
+    with nothing.  Equal rows are linked like any others.  A NULL id counts as
+    the smallest.
     """
+    if width < 1 or not 0 < percent <= 100:
+        raise ValueError("width must be at least 1 and percent within 1 to 100")
     spark = docs.sparkSession
     parts = C.partitions(spark)
     keyed = _keyed(docs)
-    facts = C.staged(_facts(keyed))
+    facts = C.staged(_facts(keyed, width))
     rows = facts.select("doc_id", "tie", "n", "s1", "s2")
     sizes = rows.filter(F.col("n").between(1, 2 * LARGEST_LIGHT)).groupBy("n").count().collect()
-    limit = boundary({r[0]: r[1] for r in sizes})
+    limit = boundary({r[0]: r[1] for r in sizes}, percent)
     grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     classes = C.staged(grouped.select("n", "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")))
 
-    listed = _postings(keyed, limit, parts)
+    listed = _postings(keyed, limit, parts, width, percent)
     edges = listed.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
     groups = C.staged(connected_components(edges))
 
@@ -307,7 +343,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def tokens(batches):
         for batch in batches:
-            found = pa.array([s.tobytes() for _, s in _sets(batch, 4)], pa.binary())
+            found = pa.array([s.tobytes() for _, s in _sets(batch, 4, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=["component", "blocks", "at", "class", "tokens"])
 
     listed = C.staged(texts.select("component", "blocks", "at", F.col("doc_id").alias("class"), "text").mapInArrow(
@@ -315,7 +351,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     paired = listed.select("*", other.alias("other")).select(
         "component", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "class", (F.col("at") > F.col("other")).cast("int").alias("half"), "tokens")
-    verified = paired.groupBy("component", "low", "high").applyInArrow(_verified, "a long, b long")
+    verified = paired.groupBy("component", "low", "high").applyInArrow(lambda table: _verified(table, percent), "a long, b long")
     linked = connected_components(verified)
 
     named = classes.join(linked, F.col("doc_id") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"))
@@ -325,10 +361,10 @@ def similar_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                       F.when(F.coalesce("component", "doc_id") != _FIRST, F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents whose id names their group; where rows repeat that id, the first by text and a hash of the rest."""
     ident, place = C.free(docs, "group_id"), C.free(docs, "group_place")
-    named = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).count()
+    named = similar_documents(docs, width=width, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).count()
     named = C.staged(named)
     kept = docs.join(named.select(ident), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
     if named.filter(F.col("count") > 1).limit(1).count():
