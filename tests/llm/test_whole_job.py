@@ -63,3 +63,30 @@ def test_partners_keep_a_common_block_at_other_percentages():
                 if need <= a:
                     x, y = dict(jaccard.block_counts(a, percent)), dict(jaccard.block_counts(b, percent))
                     assert any(x.get(u) == k and jaccard.may_differ(u, percent) >= a + b - 2 * need for u, k in y.items()), (percent, a, b)
+
+
+# --- language stage ----------------------------------------------------------------------------------------------
+
+
+def test_language_stage_rejects_noise_and_unlearned_scripts(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    strange = ["".join(rng.choice(letters, 400)), " ".join("".join(rng.choice(letters, 6)) for _ in range(80)), "q " + "7#%$ 93 " * 50 + "zx",
+               "Привет мир, это русский текст о погоде", "数据处理系统的一个测试文本", "Το γρήγορο καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(extra, allowMissingColumns=True), FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_language_stage_keeps_letters_where_nothing_is_learned(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a text"), (2, "12 34 !"), (3, None), (4, "текст"), (5, "")]
+    bare = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (bare, bare.withColumn("lang", F.lit(None).cast("string"))):
+        assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, FOLDER).collect()) == [1, 4]
