@@ -182,6 +182,20 @@ def triples(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(a + mix(b + np.uint64(_ODD)) * np.uint64(3) + mix(c + np.uint64(_BASE)) * np.uint64(5)), at
 
 
+def grams(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``width`` words in a row of the same text, and the index of the first word."""
+    if width == 3:
+        return triples(words, rows)
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    at = np.flatnonzero(rows[width - 1 :] == rows[:n])
+    out = words[at]
+    for k in range(1, width):
+        out = out * np.uint64(_BASE) + mix(words[at + k] + np.uint64(k))
+    return mix(out), at
+
+
 def squeezed(data: bytes) -> bytes:
     """Zstandard with the length in front; large blobs travel smaller than under the shuffle's own codec."""
     return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")

@@ -6,7 +6,8 @@ long as the longest item, so that an item never straddles all of them.  A
 passage first meets upper bounds (of the rarer terms, by blocks of items and
 then by item, plus what the common terms can add), then block-max WAND retrieves every item at or above the
 threshold, then three-word overlaps of the item's question (first half) and
-answer (second half) are verified.
+answer (second half) are verified.  An item of up to five words has a half
+without three words; it must stand in the passage as a whole, in one run.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ class Index:
     rare: np.ndarray  # per term, whether it counts towards the bound
     common_of_block: np.ndarray  # the most that common terms add to an item of the block
     common_of_item: np.ndarray
-    triples: list[tuple[np.ndarray, np.ndarray]]  # of question and answer
+    parts: list[tuple[int, list[np.ndarray]]]  # words of a run, and the runs of question and answer (short items: of the whole)
     span: int  # half a passage, in words
     threshold: float
 
@@ -192,10 +193,9 @@ class Index:
         return out
 
     def _verified(self, item: int, words: np.ndarray) -> bool:
-        have, _ = C.triples(words, np.zeros(len(words), np.int64))
-        if not len(have):
-            have = words
-        return all(not len(part) or np.isin(part, have).mean() >= OVERLAP for part in self.triples[item])
+        width, parts = self.parts[item]
+        have, _ = C.grams(words, np.zeros(len(words), np.int64), width)
+        return all(np.isin(part, have).mean() >= OVERLAP for part in parts)
 
 
 class _Cursor:
@@ -222,17 +222,14 @@ def _index(rows, texts: dict[int, tuple[int, str]], threshold: float) -> Index:
     """``rows``: (iid, term, impact) of the block; ``texts``: iid -> (item_id, text)."""
     order = sorted(texts)
     number = {iid: i for i, iid in enumerate(order)}
-    triples, longest = [], 1
+    parts, longest = [], 1
     for iid in order:
         raw = np.frombuffer(texts[iid][1].encode(), np.uint8)
         words, _ = tokens(raw, np.array([0, len(raw)]))
         longest = max(longest, len(words))
         half = (len(words) + 1) // 2
-        parts = []
-        for part in (words[:half], words[half:]):
-            three, _ = C.triples(part, np.zeros(len(part), np.int64))
-            parts.append(three if len(words) >= 3 else part)
-        triples.append(tuple(parts))
+        width, halves = (3, [words[:half], words[half:]]) if len(words) - half >= 3 else (len(words), [words])
+        parts.append((width, [C.grams(h, np.zeros(len(h), np.int64), width)[0] for h in halves]))
     item = np.array([number[r[0]] for r in rows], np.int64)
     term = np.array([r[1] for r in rows], np.int64).view(np.uint64)
     impact = np.array([r[2] for r in rows], float)
@@ -254,7 +251,7 @@ def _index(rows, texts: dict[int, tuple[int, str]], threshold: float) -> Index:
         rare[t] = False
     blocks = np.zeros((len(order) + BLOCK - 1) // BLOCK)
     np.maximum.at(blocks, np.arange(len(order)) // BLOCK, common)
-    return Index([texts[i][0] for i in order], terms, starts, item, impact, block_starts, block[edge], block_max, rare, blocks, common, triples, longest, threshold)
+    return Index([texts[i][0] for i in order], terms, starts, item, impact, block_starts, block[edge], block_max, rare, blocks, common, parts, longest, threshold)
 
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES):

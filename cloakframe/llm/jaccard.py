@@ -101,26 +101,12 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
 # --- sets of a chunk ---------------------------------------------------------------------------------------------
 
 
-def _grams(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``width`` words in a row of the same text, and the index of the first word."""
-    if width == 3:
-        return C.triples(words, rows)
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    at = np.flatnonzero(rows[width - 1 :] == rows[:n])
-    out = words[at]
-    for k in range(1, width):
-        out = out * np.uint64(C._BASE) + C.mix(words[at + k] + np.uint64(k))
-    return C.mix(out), at
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """Per row the sorted hashes of its distinct shingles (A-Z as a-z)."""
     low = C.LOWER[data]
     starts, ends, rows = C.pieces(~C.SPACE[low], offsets)
     words = C.substring_hashes(C.prefix_sums(low), starts, ends)
-    grams, at = _grams(words, rows, width)
+    grams, at = C.grams(words, rows, width)
     n = len(offsets) - 1
     first = np.searchsorted(rows[at], np.arange(n + 1)).tolist()
     word = np.searchsorted(rows, np.arange(n + 1)).tolist()

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from cloakframe.llm import jaccard  # noqa: E402
+from cloakframe.llm import decontaminate, jaccard  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -90,3 +90,25 @@ def test_language_stage_keeps_letters_where_nothing_is_learned(spark):
     bare = spark.createDataFrame(rows, "doc_id long, text string")
     for docs in (bare, bare.withColumn("lang", F.lit(None).cast("string"))):
         assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, FOLDER).collect()) == [1, 4]
+
+
+# --- short test items --------------------------------------------------------------------------------------------
+
+
+def test_short_items_leak_as_one_run(spark):
+    said = "blue heron nests beside rivers"
+    items = [(n, " ".join(f"{w}{n}" for w in said.split()[:n])) for n in range(1, 6)]
+    longer = (6, "nine tall ships sailed past the quiet northern lighthouse at noon")
+    around = " ".join(f"word{i}" for i in range(30))
+    docs, want = [], {}
+    for n, text in [*items, longer]:
+        words = text.split()
+        for kind, passage, leaks in (("whole", text, True), ("upper", text.upper(), True), ("turned", " ".join(reversed(words)), n == 1),
+                                     ("spread", " between ".join(words), n == 1), ("cut", " ".join(words[:-1]), n == 6)):
+            want[len(docs)] = [n] if leaks else []
+            docs.append((len(docs), f"{around} {passage} {around}"))
+        want[len(docs)] = [n]
+        docs.append((len(docs), text))
+    rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame([*items, longer], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in rows} == want
