@@ -173,7 +173,7 @@ def _sets(batch, column: int, width: int):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def _facts(keyed: DataFrame, width: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _facts(keyed: DataFrame, width: int) -> DataFrame:
             n, s1, s2 = zip(*found) if found else ((), (), ())
             yield C.columns_batch(doc_id=batch.column(0), tie=batch.column(1), n=pa.array(n, pa.int64()), s1=pa.array(s1, pa.int64()), s2=pa.array(s2, pa.int64()))
 
-    return keyed.mapInArrow(work, "doc_id long, tie int, n long, s1 long, s2 long")
+    return keyed.mapInArrow(work, "doc_id long, tie long, n long, s1 long, s2 long")
 
 
 def _packed(keys: np.ndarray, owners: np.ndarray) -> bytes:
@@ -294,17 +294,12 @@ def _verified(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame:
+    """Id, tie (hash of the text) and set size of every row, with the smallest id and tie of its group.
 
-    Two documents link at a Jaccard similarity of ``percent`` hundredths or more
-    of their sets of distinct shingles of ``width`` words; with fewer words the
-    whole text is the only shingle; without words (or text) a document links
-    with nothing.  Equal rows are linked like any others.  A NULL id counts as
-    the smallest.
+    Classes are known by their signature; ids only choose the representative,
+    so rows that share an id (or have none) are not linked by it.
     """
-    if width < 1 or not 0 < percent <= 100:
-        raise ValueError("width must be at least 1 and percent within 1 to 100")
     spark = docs.sparkSession
     parts = C.partitions(spark)
     keyed = _keyed(docs)
@@ -322,7 +317,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, p
     # A group larger than a block is cut; every pair of its blocks is one unit of comparison.
     big = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
     members = groups.join(big, "component").join(classes, F.col("node") == F.col("s1")).select(
-        "component", "blocks", "doc_id", "tie", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("at"))
+        "component", "blocks", "doc_id", "tie", "s1", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("at"))
     texts = members.join(keyed, ["doc_id", "tie"])
     if rows.count() > rows.select("doc_id", "tie").distinct().count():  # rows that repeat id and text
         texts = texts.dropDuplicates(["doc_id", "tie"])
@@ -332,7 +327,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, p
             found = pa.array([s.tobytes() for _, s in _sets(batch, 4, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=["component", "blocks", "at", "class", "tokens"])
 
-    listed = C.staged(texts.select("component", "blocks", "at", F.col("doc_id").alias("class"), "text").mapInArrow(
+    listed = C.staged(texts.select("component", "blocks", "at", F.col("s1").alias("class"), "text").mapInArrow(
         tokens, "component long, blocks long, at long, class long, tokens binary"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     paired = listed.select("*", other.alias("other")).select(
@@ -340,23 +335,44 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, p
     verified = paired.groupBy("component", "low", "high").applyInArrow(lambda table: _verified(table, percent), "a long, b long")
     linked = connected_components(verified)
 
-    named = classes.join(linked, F.col("doc_id") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    named = classes.join(linked, F.col("s1") == F.col("node"), "left").withColumn("group", F.coalesce("component", "s1"))
+    firsts = named.groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
+    named = named.join(firsts, "group").select("n", "s1", "s2", "head")
+    out = rows.join(named, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", "tie", "n", F.coalesce("head", F.struct("doc_id", "tie")).alias("head"))
+
+
+def similar_documents(docs: DataFrame, block: int = BLOCK, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    Two documents link at a Jaccard similarity of ``percent`` hundredths or more
+    of their sets of distinct shingles of ``width`` words; with fewer words the
+    whole text is the only shingle; without words (or text) a document links
+    with nothing.  Equal rows are linked like any others.  A NULL id counts as
+    the smallest.
+    """
+    if width < 1 or not 0 < percent <= 100:
+        raise ValueError("width must be at least 1 and percent within 1 to 100")
     real = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.when(F.coalesce("component", "doc_id") != _FIRST, F.coalesce("component", "doc_id")).alias("component_id"))
+    return _grouped(docs, block, width, percent).select(
+        real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("head.doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id names their group; where rows repeat that id, the first by text and a hash of the rest."""
-    ident, place = C.free(docs, "group_id"), C.free(docs, "group_place")
-    named = similar_documents(docs, width=width, percent=percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(ident)).count()
-    named = C.staged(named)
-    kept = docs.join(named.select(ident), F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
-    if named.filter(F.col("count") > 1).limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-        kept = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
-    return kept
+    """One row of each group of linked texts: of the smallest id, there of the smallest hash of text and row.
+
+    Rows without words link with nothing and all stay.
+    """
+    ident, tie, place, many = (C.free(docs, n) for n in ("group_id", "group_tie", "group_place", "group_many"))
+    heads = _grouped(docs, BLOCK, width, percent).filter((F.col("n") == 0) | (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.tie") == F.col("tie")))
+    heads = C.staged(heads.groupBy(F.col("doc_id").alias(ident), F.col("tie").alias(tie)).agg(((F.count(F.lit(1)) > 1) & (F.max("n") > 0)).alias(many)))
+    keyed = docs.withColumns({ident: F.coalesce(F.col("doc_id"), F.lit(_FIRST)), tie: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    if not heads.filter(many).limit(1).count():
+        return keyed.join(heads, [ident, tie], "left_semi").select(*docs.columns)
+    kept = keyed.join(heads, [ident, tie])
+    order = Window.partitionBy(ident, tie).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    first = kept.filter(many).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return kept.filter(~F.col(many)).select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def op10_jaccard(spark, folder: str) -> DataFrame:

@@ -62,8 +62,8 @@ def poisson_steps(rate):
 def replicated(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str = "source") -> DataFrame:
     """Every document as often as its draw says, with ``copy`` (from 1) and ``place`` (order of the global shuffle).
 
-    Rows that share a doc_id are drawn alike; a NULL id or source is a value
-    like any other.  Columns of the input named like the two new ones stay, the
+    Rows that share a doc_id are drawn alike; those without one are drawn by a
+    hash of the row.  A NULL source is a value like any other.  Columns of the input named like the two new ones stay, the
     new ones then get an underscore more.
     """
     copy, place, steps, key = (C.free(docs, n) for n in ("copy", "place", "mix_steps", "mix_key"))
@@ -71,13 +71,14 @@ def replicated(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str
     if rates.count() <= SMALL:
         table = F.broadcast(table)
     drawn = docs.withColumn(key, F.coalesce(F.col(source), F.lit(""))).join(table, key)
-    number = C.md5_unit(seed, F.col("doc_id"))
+    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), row.cast("string")))
+    number = C.md5_unit(seed, ident)
     times = F.size(F.filter(F.col(steps), lambda c: c <= number))
     rows = drawn.withColumn(copy, times).filter(F.col(copy) > 0)
-    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
-    order = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                                          F.col(copy).cast("string")).cast("binary")), 1, 15)
-    rows = rows.withColumn(place, F.conv(order, 16, 10).cast("bigint"))
+    rows = rows.select(*docs.columns, ident.alias(key), F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
+    order = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key), F.col(copy).cast("string")).cast("binary")), 1, 15)
+    rows = rows.withColumn(place, F.conv(order, 16, 10).cast("bigint")).drop(key)
     return rows.repartition(C.partitions(docs.sparkSession), place).sortWithinPartitions(place)
 
 

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from cloakframe.llm import decontaminate, jaccard  # noqa: E402
+from cloakframe.llm import decontaminate, jaccard, mixing  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -112,3 +112,28 @@ def test_short_items_leak_as_one_run(spark):
     rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"),
                                        spark.createDataFrame([*items, longer], "item_id long, text string")).collect()
     assert {r["doc_id"]: r["items"] for r in rows} == want
+
+
+# --- rows without an id, and rows that repeat one ----------------------------------------------------------------
+
+
+def test_near_copies_of_rows_without_ids_and_with_repeated_ids(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("c")), (5, text("d")), (7, text("d") + " end"), (7, text("e")),
+            (7, text("e")), (8, text("f")), (8, text("g")), (None, None), (None, ""), (9, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in jaccard.one_per_group(docs, 5, 80).collect()]
+    groups = sorted((t or " ")[0] for _, t in kept)
+    assert groups == [" ", " ", "a", "b", "c", "d", "e", "f", "g"]
+    assert {i for i, t in kept if t and t[0] in "abc"} == {None} and (5, text("d")) in kept
+    assert set(kept) <= set(rows)
+
+
+def test_rows_without_ids_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None, f"text {i:04d}", "big" if i % 4 else "small") for i in range(4000)], "doc_id long, text string, source string")
+    made = mixing.mix(docs, weights={"big": 1.0, "small": 1.0}, repeats=2.0)
+    counts = {r[0]: r[1] for r in made.groupBy("source").count().collect()}
+    assert abs(counts["big"] / 4000 - 1) < 0.08 and abs(counts["small"] / 4000 - 1) < 0.08
+    assert made.select("place").distinct().count() == made.count()
