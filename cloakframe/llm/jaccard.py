@@ -5,7 +5,8 @@ size that a partner would have to share.  A large set is cut by hash into one
 block of tokens more than it may differ from a partner in tokens, so that some
 block is whole in both, and meets others in the inverted lists of its blocks.
 Below 0.9 blocks would hold too few tokens to tell sets apart; then there are
-spare blocks, more are whole in both, and each set leaves out its smallest ones.
+spare blocks, more are whole in both, and each set leaves out those with the
+fewest tokens that a sample does not show to be common.
 The boundary is where the measured sizes make the sum of keys smallest.
 Members of a list are candidates; inside groups of candidates sets are compared
 exactly, in pairs of bounded blocks, and a set already reached is not compared
@@ -30,6 +31,7 @@ from .components import connected_components
 PERCENT = 90
 WIDTH = 3
 LARGEST_LIGHT = 64  # the boundary is looked for up to this size
+SAMPLE, COMMON = 8000, 3  # texts in which common tokens are counted, and how many must hold one
 BLOCK = 1500  # sets of a block when a group is compared
 _FIRST = -(1 << 63)
 
@@ -145,12 +147,16 @@ def light_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def heavy_keys(tokens: np.ndarray, percent: int = PERCENT, common: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
     """Hashes of the blocks of tokens under both schemes.
 
     Partners have more whole blocks in common than the spare ones, so one of
-    them is no smaller than the smallest block that either lists.
+    them weighs no less than the lightest block that either lists.  Any weight
+    will do that depends on a block's tokens only; rare tokens weigh most.
     """
+    rare = np.ones(len(tokens), np.int64)
+    if len(common):
+        rare = (common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens).astype(np.int64)
     mixed, out = C.mix(tokens + np.uint64(C._ODD)), []
     for scheme, blocks in block_counts(len(tokens), percent):
         part = ((tokens >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
@@ -158,8 +164,10 @@ def heavy_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
         edge = np.searchsorted(part[order], np.arange(blocks + 1))
         names = C.mix(np.arange(blocks, dtype=np.uint64) + np.uint64((scheme * C._BASE) & (2**64 - 1)))
-        sizes, spare = np.diff(edge), blocks - 1 - may_differ(scheme, percent)
-        listed = sizes >= np.partition(sizes, spare)[spare]
+        heavy = np.concatenate([np.zeros(1, np.int64), np.cumsum(rare[order])])
+        weight = (np.diff(heavy[edge]) << 32) + np.diff(edge)
+        spare = blocks - 1 - may_differ(scheme, percent)
+        listed = weight >= np.partition(weight, spare)[spare]
         out.append(C.mix(sums[edge[1:]] - sums[edge[:-1]] + names)[listed])
     return np.concatenate(out)
 
@@ -188,6 +196,20 @@ def _facts(keyed: DataFrame, width: int) -> DataFrame:
     return keyed.mapInArrow(work, "doc_id long, tie long, n long, s1 long, s2 long")
 
 
+def _common(keyed: DataFrame, total: int, width: int) -> np.ndarray:
+    """Sorted tokens that several texts of a bounded, hash-drawn sample hold."""
+    drawn = keyed.filter(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(max(1, -(-total // SAMPLE)))) == 0)
+
+    def work(batches):
+        for batch in batches:
+            for _, tokens in _sets(batch, 2, width):
+                yield C.columns_batch(token=tokens.view(np.int64))
+
+    counts = drawn.dropDuplicates(["tie"]).mapInArrow(work, "token long").groupBy("token").count().filter(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "token").limit(1 << 17).select("token").collect()
+    return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+
+
 def _packed(keys: np.ndarray, owners: np.ndarray) -> bytes:
     """48 bits of each key, and the owners with how many keys in a row each has."""
     edge = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
@@ -205,7 +227,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(owners, np.frombuffer(blob, np.uint32, m, 8 + 6 * n + 8 * m))
 
 
-def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: int) -> DataFrame:
+def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """(bucket, postings): keys and classes, each class once per batch."""
 
     def work(batches):
@@ -220,7 +242,7 @@ def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: i
                     keys.append(light_keys(tokens, percent))
                     owners.append(np.full(len(keys[-1]), sig[0], np.int64))
                 if 100 * len(tokens) > percent * limit:
-                    keys.append(heavy_keys(tokens, percent))
+                    keys.append(heavy_keys(tokens, percent, common))
                     owners.append(np.full(len(keys[-1]), sig[0], np.int64))
             if keys:
                 keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -310,7 +332,8 @@ def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame
     grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     classes = C.staged(grouped.select("n", "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")))
 
-    listed = _postings(keyed, limit, parts, width, percent)
+    common = _common(keyed, rows.count(), width) if percent < 90 else np.empty(0, np.uint64)
+    listed = _postings(keyed, limit, parts, width, percent, common)
     edges = listed.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
     groups = C.staged(connected_components(edges))
 
