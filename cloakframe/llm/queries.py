@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chatformat, decontaminate, jaccard, language, linededup, mixing, quality, sharding, suffix, warc
+from . import chatformat, decontaminate, jaccard, language, linededup, mixing, periodic, quality, sharding, suffix, tokencount, turntrie, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_chat": chatformat.op9_chat,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_periodic": periodic.op11_periodic,
+    "op12_tokencount": tokencount.op12_tokencount,
+    "op13_trie": turntrie.op13_trie,
 }
 
 ORACLES = {
@@ -24,4 +27,5 @@ ORACLES = {
     "op6_linededup": linededup.ORACLE,
     "op9_chat": chatformat.ORACLE,
     "op10_jaccard": jaccard.ORACLE,
+    "op13_trie": turntrie.ORACLE,
 }
