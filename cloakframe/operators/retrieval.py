@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import catalog as C
-from ..functions.arrays import exploded, let, strip
+from ..functions.arrays import exploded, strip
 from ..functions.text import record_keyword
-from .skew import union_all
-
-QUERY_BLOCK = 2048
+from ..session import run_folder
+from . import vectors
 
 
 def chunks(df: DataFrame, source: str, text: str = "text", min_chars: int = C.MIN_CHUNK_CHARS) -> DataFrame:
@@ -65,123 +61,21 @@ def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFr
     return made.withColumn(out, vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_idf", "_unit")
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _block_top_k(corpus: DataFrame, id: str, vector: str, names: list, matrix: np.ndarray, k: int, schema: T.StructType):
-    """Best ``k`` of every partition for each query of one block."""
-    shared = corpus.sparkSession.sparkContext.broadcast((names, _unit_rows(matrix)))
-
-    def run(batches):
-        ids, queries = shared.value
-        best_sim = best_id = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            data = _unit_rows(np.vstack(batch[vector].to_numpy()).astype("float64"))
-            similarity = np.round(queries @ data.T, 9)  # as in the last ranking, so that ties end alike in any layout
-            keys = np.broadcast_to(batch[id].to_numpy(), similarity.shape)
-            if best_sim is not None:
-                similarity, keys = np.hstack([best_sim, similarity]), np.hstack([best_id, keys])
-            order = np.lexsort((keys, -similarity), axis=1)[:, :k]
-            best_sim, best_id = np.take_along_axis(similarity, order, 1), np.take_along_axis(keys, order, 1)
-        if best_sim is not None:
-            each = best_sim.shape[1]
-            yield pd.DataFrame({
-                "query_id": [name for name in ids for _ in range(each)], id: best_id.ravel(), "similarity": best_sim.ravel()})
-
-    return corpus.select(id, vector).mapInPandas(run, schema)
-
-
 def top_k(
     corpus: DataFrame, queries: DataFrame, id: str, query_id: str, vector: str = "embedding", k: int = C.TOP_K,
-    block: int = QUERY_BLOCK,
+    block: int = vectors.QUERY_BLOCK, cells: int | None = None,
 ) -> DataFrame:
-    """Exact cosine top-k of every query over the whole corpus.
-
-    The corpus is never shuffled: each task multiplies its batches with a
-    block of queries and keeps k rows per query and partition; a ranked window over
-    those few rows finishes.  Queries are counted first; more than ``block`` of
-    them are worked off in several blocks of bounded size.
-    """
-    total = queries.count()
-    n_blocks = max(1, -(-total // block))
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema[query_id].dataType),
-        T.StructField(id, corpus.schema[id].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-    partial = []
-    for number in range(n_blocks):
-        part = queries.select(query_id, vector)
-        if n_blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == number)
-        rows = part.collect()
-        if rows:
-            matrix = np.array([r[1] for r in rows], dtype="float64")
-            partial.append(_block_top_k(corpus, id, vector, [r[0] for r in rows], matrix, k, schema))
-    if not partial:
-        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return _rank(union_all(partial), id, k)
-
-
-def _rank(pairs: DataFrame, id: str, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), F.col(id))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return let(
-        F.struct(a.alias("a"), b.alias("b")),
-        lambda s: dot(s["a"], s["b"]) / F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"])),
-    )
+    """Exact cosine top-k of every query over the whole corpus, in one pass over it (``vectors.exact_top_k``)."""
+    return vectors.exact_top_k(corpus, queries, id, query_id, vector, k, block, cells)
 
 
 def approximate_top_k(
     corpus: DataFrame, queries: DataFrame, id: str, query_id: str, vector: str = "embedding", k: int = C.TOP_K,
-    tables: int = 8, width: float = 1.0, seed: int = 42, max_queries: int = QUERY_BLOCK,
+    lists: int = 64, probes: int = 8, rescored: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Approximate cosine top-k: only rows sharing a hash bucket with a query are scored.
-
-    Buckets of the queries are broadcast when their number is within bounds,
-    so a bucket holding most of the corpus is scored where its rows lie; more
-    queries than that join through a salted shuffle.
-    """
-    unit = lambda d: Normalizer(inputCol="_v", outputCol="_u").transform(
-        d.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    )
-    size = len(queries.select(vector).first()[0])
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="_u", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed
-    )
-    probe = corpus.sparkSession.createDataFrame([([1.0] * size,)], ["a"]).select(array_to_vector("a").alias("_u"))
-    model = hasher.fit(probe)
-
-    def hashed(d: DataFrame, key: str, name: str) -> DataFrame:
-        out = model.transform(unit(d)).select(F.col(key).alias(name), "_h")
-        bucket = F.transform("_h", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("int"))
-        return out.select(name, F.posexplode(bucket).alias("_table", "_bucket"))
-
-    # Only ids meet in the buckets; each pair is scored once, with its vectors fetched afterwards.
-    asked, stored = hashed(queries, query_id, "query_id"), hashed(corpus, id, id)
-    if queries.count() <= max_queries:
-        pairs = stored.join(F.broadcast(asked), ["_table", "_bucket"])
-    else:
-        from .skew import lookup_join
-
-        pairs = lookup_join(stored, asked, ["_table", "_bucket"], "inner")
-    pairs = pairs.select("query_id", id).distinct()
-    met = pairs.join(corpus.select(id, F.col(vector).alias("_c")), id).join(
-        queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q")), "query_id")
-    scored = met.select("query_id", id, F.round(cosine(F.col("_q"), F.col("_c")), 9).alias("similarity"))
-    return _rank(scored, id, k)
+    """Approximate cosine top-k over an inverted file made for this call; ``vectors.build_index`` makes one that stays."""
+    index = vectors.build_index(corpus, run_folder(corpus.sparkSession), id, vector, lists, seed)
+    return vectors.search(index, queries, query_id, vector, k, probes, rescored)
 
 
 def recall(exact: DataFrame, found: DataFrame, id: str) -> DataFrame:
