@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import exploded, let
+from . import gazetteer
 from . import spans as S
 from .detect import MODEL_SOURCE
 from .labels import TAGS, bio_tags, tag_ids, words
@@ -74,31 +75,6 @@ def with_pieces(model: PipelineModel, df: DataFrame, row_id: str, text: str = "t
 
 
 def with_phrases(df: DataFrame, phrases: dict[str, list[str]], text: str = "text", score: float = 0.85, out: str = "pieces") -> DataFrame:
-    """Spans of listed phrases (people, places, groups) as whole words, ignoring case."""
-    from .. import catalog as C
-    from .detect import in_scan_order, with_matches
-
-    rules = [
-        C.Rule(label, f"phrases_{label.lower()}", r"\b(?:" + "|".join(_escaped(p) for p in sorted(words_, key=lambda p: (-len(p), p))) + r")\b", score)
-        for label, words_ in phrases.items()
-    ]
-    found = with_matches(df, text, rules, "_phrases")
-    label = F.expr("array(" + ", ".join(f"'{r.entity}'" for r in rules) + ")")
-    scored = F.transform(
-        "_phrases",
-        lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), F.get(label, m["rule"]).alias("label"),
-            F.lit(score).alias("score"), m["rule"].alias("rule"),
-        ),
-    )
-    spans = F.transform(
-        in_scan_order(scored),
-        lambda s: S.span(s["start"], s["end"], s["label"], s["score"], F.lit(MODEL_SOURCE)),
-    )
-    return found.withColumn(out, S.keep_best(spans)).drop("_phrases")
-
-
-def _escaped(phrase: str) -> str:
-    import re
-
-    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", phrase)
+    """Spans of phrases listed per label; ``gazetteer.with_phrases`` takes a table."""
+    listed = [(phrase, label, score) for label, phrases_ in phrases.items() for phrase in phrases_]
+    return gazetteer.with_phrases(df, df.sparkSession.createDataFrame(listed, "phrase string, label string, score double"), text, out)

@@ -11,6 +11,7 @@ from ..functions.arrays import block_slice, built_once, exploded, let, text_bloc
 from ..functions.text import sanitize
 from ..session import cut_lineage
 from . import detect as D
+from . import gazetteer
 from . import spans as S
 from .skew import lookup_join
 
@@ -186,10 +187,14 @@ def tokenize(
     key: Column | None = None,
     scope: list[str] | None = None,
     unit: str | None = None,
+    phrases: DataFrame | None = None,
     **detect_options,
 ) -> DataFrame:
     """Detect, merge and replace in one pass over the rows.
 
+    ``phrases`` (phrase, label) is a table of names (people, places, groups) that
+    count wherever no rule span lies; see ``gazetteer.with_phrases``.
+
     Adds ``entities`` and ``tokenized``.  Without ``scope`` each row is its own
     token scope and the plan has no shuffle; with ``scope`` and ``unit`` values
     get one label over all units of the scope.
@@ -198,7 +203,11 @@ def tokenize(
         raise ValueError(f"mode must be token or encrypt, got {mode!r}")
     if mode == "encrypt" and key is None:
         raise ValueError("mode encrypt needs a key column")
+    if phrases is not None:
+        df = gazetteer.with_phrases(df, phrases, text, "_named", unit)
     found = D.with_rule_spans(df, text, rules, entities, trim, out="_spans", **detect_options)
+    if phrases is not None:
+        found = D.with_model_spans(found, "_named", "_spans", 0.0, out="_spans").drop("_named")
     if model_spans:
         found = D.with_model_spans(found, model_spans, "_spans", threshold, out="_spans")
     known = with_entities(found, text, "_spans", gap).drop("_spans")

@@ -9,6 +9,7 @@ from ..functions import crypto
 from ..functions.arrays import exploded
 from ..functions.sql import register, tokenized_view
 from ..operators import detect as D
+from ..operators import gazetteer as GZ
 from ..operators import spans as S
 from ..operators import tagger as TG
 from ..operators import tokenize as T
@@ -134,6 +135,30 @@ query("listed_phrases", f"WITH {Q.matches(_PH_RULES, _PH_SRC)}, {Q.scored(_PH_RU
       "SELECT id, s AS start, e AS \"end\", label FROM kept")(
     lambda s, d: short_rows(TG.with_phrases(rel(s, d, _PH_SRC.replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}")), PHRASES), "pieces").drop("score"))
 
+# Names from the given tables: openings of documents, benchmark items and conversations.
+NAMES = r"""SELECT regexp_extract(text, '[A-Za-zÀ-ɏ]+ [A-Za-zÀ-ɏ]+', 0) AS phrase, 'PERSON' AS label FROM {documents}
+UNION ALL SELECT regexp_extract(text, '[A-Za-zÀ-ɏ]+ [A-Za-zÀ-ɏ]+ [A-Za-zÀ-ɏ]+', 0), 'LOCATION' FROM {benchmark}
+UNION ALL SELECT regexp_extract(text, '[A-Za-zÀ-ɏ]+', 0), 'NRP' FROM {conversations}"""
+_W = r"[\p{L}\p{N}\p{M}_]+"
+NAMED_SQL = f"""WITH p AS (SELECT lower(phrase) AS phrase, min(label) AS label FROM ({NAMES.replace('{documents}', 'documents').replace('{benchmark}', 'benchmark').replace('{conversations}', 'conversations')}) WHERE phrase <> '' GROUP BY 1),
+x AS (SELECT doc_id AS id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_W}|[^{_W[1:-2]}]+') AS l FROM documents)),
+y AS (SELECT id, piece, i, CAST(sum(length(piece)) OVER (PARTITION BY id ORDER BY i) AS INTEGER) AS e FROM x),
+w AS (SELECT id, e - length(piece) AS s, e, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM y WHERE regexp_matches(piece, '^{_W}$')),
+g AS (SELECT a.id, a.s, b.e, substring(lower(d.text), CAST(a.s + 1 AS BIGINT), CAST(b.e - a.s AS BIGINT)) AS phrase FROM w a JOIN w b ON a.id = b.id AND b.k BETWEEN a.k AND a.k + 2 JOIN documents d ON d.doc_id = a.id),
+c AS (SELECT id, s, max(e) AS e, arg_max(label, e) AS label FROM g JOIN p USING (phrase) GROUP BY 1, 2),
+f AS (SELECT id, list_reduce(list([{{'s': s, 'e': e, 'label': label}}] ORDER BY s), lambda a, b: CASE WHEN b[1].s >= a[-1].e THEN list_concat(a, b) ELSE a END) AS l FROM c GROUP BY 1)
+SELECT id, x.s AS start, x.e AS "end", x.label AS label FROM (SELECT id, unnest(l) AS x FROM f)"""
+
+
+def _named(s, d, limit):
+    rows = documents(s, d)
+    found = GZ.with_phrases(rows, rel(s, d, NAMES).filter("phrase <> ''"), row_id="id", limit=limit)
+    return short_rows(found, "pieces").drop("score")
+
+
+query("named_entities", NAMED_SQL)(lambda s, d: _named(s, d, GZ.PHRASE_BYTES))
+query("named_entities_joined", NAMED_SQL)(lambda s, d: _named(s, d, 0))  # as for a table too large for every task
+
 query("merge_neighbours", f"WITH {Q.detection(C.CATALOGUE, ALL)}, {Q.merged()} SELECT id, s AS start, e AS \"end\", label, round(score, 6) AS score FROM merged")(
     lambda s, d: short_rows(
         D.with_rule_spans(customer_texts(s, d, X.ALL_TEXT)).withColumn("m", S.merge_near(F.col("spans"))), "m"
