@@ -16,24 +16,33 @@ LINES = "SELECT c_nationkey, c_custkey, 'Client of ' || c_mktsegment || ', mail
 LINE_SQL = LINES.replace("{customer}", "customer")
 
 
+CUSTOMERS_OF_A_FILE = 1000  # a nation has as many files as its customers need
+_FILE = f"c_nationkey, c_custkey // {CUSTOMERS_OF_A_FILE}"
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with the folders n (nation) and b (block of customers) of their file."""
+    block = F.lpad(F.floor(F.col("c_custkey") / CUSTOMERS_OF_A_FILE).cast("string"), 9, "0")
+    return rel(spark, folder, LINES).withColumnRenamed("c_nationkey", "n").withColumn("b", block)
+
+
 def _nation(pattern: str = r"n=(\d+)/"):
     return F.regexp_extract("file_path", pattern, 1).cast("int").alias("nation")
 
 
 
 def _line_folder(spark: SparkSession, folder: str) -> str:
-    """Customers as lines, one folder per nation."""
+    """Customers as lines, files of a thousand keys in one folder per nation."""
     path = run_folder(spark)
-    rows = rel(spark, folder, LINES).withColumnRenamed("c_nationkey", "n")
-    ordered = rows.repartition("n").sortWithinPartitions("n", "c_custkey")
-    ordered.drop("c_custkey").write.partitionBy("n").text(path)
+    ordered = _files(spark, folder).repartition("n", "b").sortWithinPartitions("n", "b", "c_custkey")
+    ordered.drop("c_custkey").write.partitionBy("n", "b").text(path)
     return path
 
 
-query("line_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS unit_no, value AS text FROM ({LINE_SQL})")(
+query("line_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, row_number() OVER (PARTITION BY {_FILE} ORDER BY c_custkey) - 1 AS unit_no, value AS text FROM ({LINE_SQL})")(
     lambda s, d: files.read_lines(s, _line_folder(s, d)).select(_nation(), "unit_no", "text"))
-query("whole_document_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(value || chr(10), '' ORDER BY c_custkey) AS text FROM ({LINE_SQL}) GROUP BY 1")(
-    lambda s, d: files.read_documents(s, _line_folder(s, d) + "/*").select(_nation(), "text"))
+query("whole_document_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(value || chr(10), '' ORDER BY c_custkey) AS text FROM ({LINE_SQL}) GROUP BY {_FILE}")(
+    lambda s, d: files.read_documents(s, _line_folder(s, d) + "/*/*").select(_nation(), "text"))
 
 
 def _tokenized_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,23 +58,23 @@ replace(value, 'c' || c_custkey || '@example.org', '[EMAIL_' || substr(md5('c' |
 
 
 def _json_folder(spark: SparkSession, folder: str) -> str:
-    """A JSON list per nation with one damaged file for nation 3."""
+    """JSON lists of at most a thousand customers, the files of nation 3 damaged."""
     path = run_folder(spark)
     item = F.struct(F.col("value").alias("text"), F.col("c_custkey").alias("n"))
-    lists = rel(spark, folder, LINES).groupBy(F.col("c_nationkey").alias("n")).agg(
+    lists = _files(spark, folder).groupBy("n", "b").agg(
         F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("k"), item.alias("item")))).alias("l"))
     body = F.to_json(F.transform("l", lambda x: x["item"]))
-    lists.select("n", F.when(F.col("n") == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("value")).write.partitionBy("n").text(path)
+    lists.select("n", "b", F.when(F.col("n") == 3, F.concat(F.lit("{"), body)).otherwise(body).alias("value")).write.partitionBy("n", "b").text(path)
     return path
 
 
-query("json_source", f"""SELECT CAST(c_nationkey AS INTEGER) AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS unit_no, 'list' AS shape, value AS text
+query("json_source", f"""SELECT CAST(c_nationkey AS INTEGER) AS nation, row_number() OVER (PARTITION BY {_FILE} ORDER BY c_custkey) - 1 AS unit_no, 'list' AS shape, value AS text
 FROM ({LINE_SQL}) WHERE c_nationkey <> 3""")(
-    lambda s, d: files.read_json_units(s, _json_folder(s, d), "*.txt").select(_nation(), "unit_no", "shape", "text"))
-query("json_rejects", "SELECT DISTINCT CAST(c_nationkey AS INTEGER) AS nation FROM customer WHERE c_nationkey = 3")(
-    lambda s, d: files.rejected_json(s, _json_folder(s, d), "*.txt").select(_nation()))
-query("json_file_counts", "SELECT count(DISTINCT c_nationkey) FILTER (WHERE c_nationkey <> 3) AS succeeded, count(DISTINCT c_nationkey) FILTER (WHERE c_nationkey = 3) AS failed FROM customer")(
-    lambda s, d: files.json_file_counts(s, _json_folder(s, d), "*.txt"))
+    lambda s, d: files.read_json_units(s, _json_folder(s, d) + "/*/*", "*.txt").select(_nation(), "unit_no", "shape", "text"))
+query("json_rejects", f"SELECT CAST(c_nationkey AS INTEGER) AS nation FROM customer WHERE c_nationkey = 3 GROUP BY {_FILE}")(
+    lambda s, d: files.rejected_json(s, _json_folder(s, d) + "/*/*", "*.txt").select(_nation()))
+query("json_file_counts", f"SELECT count(*) FILTER (WHERE c_nationkey <> 3) AS succeeded, count(*) FILTER (WHERE c_nationkey = 3) AS failed FROM (SELECT DISTINCT {_FILE} FROM customer)")(
+    lambda s, d: files.json_file_counts(s, _json_folder(s, d) + "/*/*", "*.txt"))
 
 
 def _examples(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, record_title, tokenized_name
 from ..operators import tokenize as T
 from ..operators.skew import running_totals
-from . import schemas
+from . import jsonlists, schemas
 
 
 FILE = ["file_path", "file_name"]  # the whole path names a file; the name alone may occur in many folders
@@ -46,22 +46,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path).withColumn("record_title", record_title(F.col("file_name")))
 
 
-def _json_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """One row per JSON file: its text and its parsed document, NULL where it does not parse."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
-        *_file_columns(), F.make_valid_utf8("value").alias("text"), F.try_parse_json(F.make_valid_utf8("value")).alias("doc")
-    )
-
-
 def rejected_json(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Files that hold no valid JSON, with their text; :func:`read_json_units` leaves them out."""
-    return _json_files(spark, path, pattern).filter(F.col("doc").isNull()).select(*FILE, "text")
+    bad = jsonlists.file_texts(spark, path, pattern, jsonlists.rejected_files(spark, path, pattern))
+    return bad.select("file_path", base_name(F.col("file_path")).alias("file_name"), "text")
 
 
 def json_file_counts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """How many files of a run succeeded and failed."""
-    bad = F.col("doc").isNull()
-    return _json_files(spark, path, pattern).agg(F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).agg(F.count(F.lit(1)).alias("all"))
+    failed = jsonlists.rejected_files(spark, path, pattern).agg(F.count(F.lit(1)).alias("failed"))
+    return files.join(failed).select((F.col("all") - F.col("failed")).alias("succeeded"), "failed")
 
 
 def read_json_units(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -73,24 +68,15 @@ def read_json_units(spark: SparkSession, path: str, pattern: str = "*.json") ->
     ``shape`` is ``list``, ``object`` or ``raw``; ``item`` is the item as a
     variant and ``in_object`` says whether the text is a field of it.  Files
     that do not parse end no job; they are the rows of :func:`rejected_json`.
+    One large list is read by many tasks (``jsonlists.json_items``).
     """
-    files = _json_files(spark, path, pattern).filter(F.col("doc").isNotNull()).drop("text")
-    kind = F.schema_of_variant("doc")
-    shaped = files.withColumn(
-        "shape",
-        F.when(F.startswith(kind, F.lit("ARRAY")), "list")
-        .when(F.startswith(kind, F.lit("OBJECT")) & F.try_variant_get("doc", "$.text", "string").isNotNull(), "object")
-        .otherwise("raw"),
-    )
-    items = shaped.filter("shape = 'list'").lateralJoin(
-        spark.tvf.variant_explode(F.col("doc").outer())
-    ).select(*FILE, F.col("pos").cast("long").alias("unit_no"), "shape", F.col("value").alias("item"))
-    whole = shaped.filter("shape <> 'list'").select(
-        *FILE, F.lit(0).cast("long").alias("unit_no"), "shape", F.col("doc").alias("item")
-    )
-    units = items.unionByName(whole)
+    items = jsonlists.json_items(spark, path, pattern).join(jsonlists.rejected_files(spark, path, pattern), "file_path", "left_anti")
+    units = items.withColumn("item_no", F.col("item")).withColumn("item", F.try_parse_json("text")).drop("text")
     item_kind = F.schema_of_variant("item")
     is_object = F.startswith(item_kind, F.lit("OBJECT"))
+    in_object = is_object & (F.col("is_list") | F.try_variant_get("item", "$.text", "string").isNotNull())
+    shape = F.when(F.col("is_list"), "list").when(in_object, "object").otherwise("raw")
+    units = units.select(*FILE, F.col("item_no").alias("unit_no"), shape.alias("shape"), "item")
     text = (
         F.when(F.col("shape") == "raw", F.to_json("item"))
         .when(is_object, F.try_variant_get("item", "$.text", "string"))
