@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from ..session import cut_lineage
 from .skew import lookup_join
 
 KEY = ["scope_type", "scope_id", "token"]
@@ -20,6 +21,8 @@ VALUES = ["ciphertext", "key_id", "filename", "written_at"]
 COLUMNS = KEY + VALUES
 STORED = ("scope_type string, scope_id string, token string, ciphertext binary, key_id string, filename string, "
           "written_at timestamp, bucket int")
+SCOPES = "scope_type string, scope_id string, last_write timestamp, bucket int"
+FILES = "scope_type string, scope_id string, filename string, written_at timestamp, bucket int"
 BUCKETS = 256
 TASKS_OF_A_BUCKET = 4  # a bucket is written by so many tasks, whatever a single scope in it holds
 
@@ -62,45 +65,141 @@ def bucket_of(scope_type: Column, scope_id: Column, buckets: int = BUCKETS) -> C
     return F.pmod(F.xxhash64(scope_type, scope_id), F.lit(buckets)).cast("int")
 
 
-def store(spark: SparkSession, writes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Merge writes into the stored vault at ``path`` (``tokens`` by scope bucket, ``files`` as a log).
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def buckets_of(spark: SparkSession, path: str, wanted: int | None = None) -> int | None:
+    """How many buckets the vault at ``path`` has; None where nothing was stored.  Another wanted number is an error."""
+    about = _read(spark, f"{path}/about", "buckets int")
+    known = about.first() if about is not None else None
+    if known and wanted not in (None, known[0]):
+        raise ValueError(f"the vault has {known[0]} buckets, not {wanted}")
+    return known[0] if known else None
+
+
+def merged_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(stream, batch) of the batches merged into the vault."""
+    found = _read(spark, f"{path}/batches", "batch bigint, stream string")
+    return spark.createDataFrame([], "stream string, batch bigint") if found is None else found.select("stream", "batch")
+
+
+def _replace(rows: DataFrame, touched: list[int], path: str, spread: Column) -> None:
+    """Replace some buckets; each gets a row without a scope, so that an emptied bucket is replaced as well."""
+    marks = rows.sparkSession.createDataFrame([(b,) for b in touched], "bucket int")
+    whole = rows.unionByName(marks, allowMissingColumns=True).repartition("bucket", F.pmod(spread, F.lit(TASKS_OF_A_BUCKET)))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _of_buckets(spark: SparkSession, path: str, schema: str, touched: list[int]) -> DataFrame:
+    kept = _read(spark, path, schema)
+    rows = spark.createDataFrame([], schema) if kept is None else kept
+    return rows.filter(F.col("bucket").isin(touched) & F.col("scope_type").isNotNull())
 
-    Only the buckets that the writes touch are read and replaced; an
-    interrupted run leaves the old buckets, and a repeated one gives the same
-    rows.  One writer at a time.
+
+def store(
+    spark: SparkSession, writes: DataFrame, path: str, buckets: int | None = None, batch: tuple[str, int] | None = None
+) -> bool:
+    """Merge writes into the stored vault at ``path``; False where ``batch`` had been merged before.
+
+    ``tokens``, ``scopes`` (last write of each) and ``files`` (which session wrote
+    each file) lie in one folder per scope bucket, ``about`` has the number of
+    buckets (``BUCKETS`` for a new vault).  Only the buckets that the writes touch
+    are read and replaced; an interrupted run leaves the old buckets, and a
+    repeated one gives the same rows.  ``batch``, a stream's name and batch
+    number, is noted last.  The writes are evaluated once.  One writer at a time.
+    """
+    known = buckets_of(spark, path, buckets)
+    count = known or buckets or BUCKETS
+    if batch and not merged_batches(spark, path).filter((F.col("stream") == batch[0]) & (F.col("batch") == batch[1])).isEmpty():
+        return False
+    if not known:
+        spark.range(1).select(F.lit(count).alias("buckets")).write.mode("overwrite").parquet(f"{path}/about")
+    placed = writes.select(*COLUMNS).withColumn("bucket", bucket_of(F.col("scope_type"), F.col("scope_id"), count)).persist()
+    try:
+        touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``count`` numbers
+        if touched:
+            scope = F.xxhash64("scope_type", "scope_id")
+            where = bucket_of(F.col("scope_type"), F.col("scope_id"), count)
+            merged = upsert(_of_buckets(spark, f"{path}/tokens", STORED, touched), placed).withColumn("bucket", where)
+            _replace(merged, touched, f"{path}/tokens", F.xxhash64("token"))
+            last = placed.groupBy("scope_type", "scope_id", "bucket").agg(F.max("written_at").alias("last_write"))
+            last = last.unionByName(_of_buckets(spark, f"{path}/scopes", SCOPES, touched))
+            last = last.groupBy("scope_type", "scope_id", "bucket").agg(F.max("last_write").alias("last_write"))
+            _replace(last, touched, f"{path}/scopes", scope)
+            files = file_log(placed).unionByName(_of_buckets(spark, f"{path}/files", FILES, touched).drop("bucket"))
+            files = files.groupBy("scope_type", "scope_id", "filename").agg(F.max("written_at").alias("written_at"))
+            _replace(files.withColumn("bucket", where), touched, f"{path}/files", F.xxhash64("filename"))
+    finally:
+        placed.unpersist()
+    if batch:
+        done = spark.createDataFrame([batch], "stream string, batch bigint")
+        done.coalesce(1).write.mode("append").parquet(f"{path}/batches")
+    return True
+
+
+def sweep(spark: SparkSession, path: str, as_of: Column, ttl_days: int = C.VAULT_TTL_DAYS) -> list[int]:
+    """Remove scopes whose last write is older than the time to live; the numbers of the buckets rewritten.
+
+    The table of scopes names the buckets that hold a dead one.  Only these are
+    read and replaced, and their tokens decide once more which scopes are dead,
+    so that a run of ``store`` broken off between its tables loses nothing.
     """
-    placed = writes.select(*COLUMNS).withColumn("bucket", bucket_of(F.col("scope_type"), F.col("scope_id"), buckets))
-    kept = read_stored(spark, path)
-    merged = writes.select(*COLUMNS)
-    if kept is not None:
-        touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        merged = kept.filter(F.col("bucket").isin(touched)).select(*COLUMNS)
-    merged = upsert(merged, writes)
-    out = merged.withColumn("bucket", bucket_of(F.col("scope_type"), F.col("scope_id"), buckets))
-    spread = out.repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(TASKS_OF_A_BUCKET)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/tokens")
-    file_log(writes).write.mode("append").parquet(f"{path}/files")
+    listed = _read(spark, f"{path}/scopes", SCOPES)
+    if listed is None:
+        return []
+    dead = F.col("last_write") + F.make_interval(days=F.lit(ttl_days)) <= as_of
+    touched = sorted(r[0] for r in listed.filter(F.col("scope_type").isNotNull() & dead).select("bucket").distinct().collect())
+    if not touched:
+        return []
+    keys = ["scope_type", "scope_id", "bucket"]
+    rows = _of_buckets(spark, f"{path}/tokens", STORED, touched)
+    last = rows.groupBy(*keys).agg(F.max("written_at").alias("last_write"))
+    alive = cut_lineage(last.filter(~dead))
+    _replace(lookup_join(rows, alive.select(*keys), keys, "left_semi"), touched, f"{path}/tokens", F.xxhash64("token"))
+    files = _of_buckets(spark, f"{path}/files", FILES, touched)
+    _replace(lookup_join(files, alive.select(*keys), keys, "left_semi"), touched, f"{path}/files", F.xxhash64("filename"))
+    _replace(alive, touched, f"{path}/scopes", F.xxhash64("scope_type", "scope_id"))
+    return touched
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored vault; None where nothing was stored yet."""
-    try:
-        return spark.read.schema(STORED).parquet(f"{path}/tokens")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    rows = _read(spark, f"{path}/tokens", STORED)
+    return None if rows is None else rows.filter("scope_type is not null")
+
 
+def stored_for(spark: SparkSession, path: str, scopes: DataFrame) -> DataFrame:
+    """The stored rows in the buckets of some scopes (scope_type, scope_id); no other bucket is read."""
+    count = buckets_of(spark, path)
+    if count is None:
+        return spark.createDataFrame([], STORED)
+    where = scopes.select(bucket_of(F.col("scope_type"), F.col("scope_id").cast("string"), count).alias("bucket")).distinct()
+    return _of_buckets(spark, f"{path}/tokens", STORED, [r[0] for r in where.collect()])  # at most ``count`` numbers
 
-def stored_map(spark: SparkSession, path: str, scope_id, scope_type: str = "session", buckets: int = BUCKETS) -> DataFrame:
+
+def stored_map(spark: SparkSession, path: str, scope_id, scope_type: str = "session", buckets: int | None = None) -> DataFrame:
     """Full map of one scope from the stored vault; only its bucket is read."""
-    bucket = bucket_of(F.lit(scope_type), F.lit(str(scope_id)), buckets)
-    return token_map(spark.read.schema(STORED).parquet(f"{path}/tokens").filter(F.col("bucket") == bucket), str(scope_id), scope_type)
+    count = buckets_of(spark, path, buckets)
+    bucket = bucket_of(F.lit(scope_type), F.lit(str(scope_id)), count or BUCKETS)
+    rows = _read(spark, f"{path}/tokens", STORED)
+    rows = spark.createDataFrame([], STORED) if rows is None else rows
+    return token_map(rows.filter(F.col("bucket") == bucket), str(scope_id), scope_type)
+
+
+def stored_scopes(spark: SparkSession, path: str) -> DataFrame:
+    """scope_type, scope_id and last_write of the stored scopes."""
+    return _read(spark, f"{path}/scopes", SCOPES).filter("scope_type is not null").drop("bucket")
 
 
 def stored_files(spark: SparkSession, path: str) -> DataFrame:
     """The file log of the stored vault, for :func:`session_of_file`."""
-    return spark.read.parquet(f"{path}/files")
+    return _read(spark, f"{path}/files", FILES).filter("scope_type is not null").drop("bucket")
 
 
 def sessions(vault: DataFrame) -> DataFrame:

@@ -134,3 +134,45 @@ def test_rate_windows_and_duplicates(spark, tmp_path):
     (tmp_path / "second").mkdir()
     counted = run(ST.over_rate(stream, "k", "ts", 5), tmp_path / "second")
     assert [(r.n, r.over_limit) for r in counted] == [(8, True)]
+
+
+def test_rows_of_a_batch_come_in_order_from_many_parts():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    order = list(range(5000))
+    rng.shuffle(order)
+    frames = [pd.DataFrame({"seq": order[a : a + 700], "content": [str(i) if i % 9 else None for i in order[a : a + 700]], "done": False}) for a in range(0, 5000, 700)]
+    got = list(ST.in_order(iter(frames), size=64))
+    assert [g[0] for g in got] == list(range(5000)) and [g[1] for g in got[:10]] == ["", *map(str, range(1, 9)), ""]
+
+
+def test_a_million_chunks_of_one_session_in_a_batch(spark, tmp_path):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("s").alias("session_id"), F.col("id").alias("seq"), F.when(F.col("id") % 1000 == 999, "!").otherwise("x").alias("content"),
+        (F.col("id") % 250_000 == 249_999).alias("done"), F.lit("2024-01-01T00:00:00Z").alias("ts"))
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    got = run(ST.assemble_messages(ST.clean_chunks(ST.read_stream(spark, str(tmp_path / "in"), schemas.CHAT_CHUNKS))), tmp_path)
+    assert [(r.seq, len(r.content), r.content.count("!")) for r in sorted(got, key=lambda r: r.seq)] == [(250_000 * k - 1, 250_000, 250) for k in range(1, 5)]
+
+
+def test_late_and_repeated_chunks_are_dropped(spark, tmp_path):
+    path = write_batches(tmp_path / "in", [
+        [chunk("s", 2, "c"), chunk("s", 0, "a")], [chunk("s", 1, "late"), chunk("s", 2, "again"), chunk("s", 3, "d", True)], [chunk("s", 3, "d", True)]])
+    got = run(ST.assemble_messages(ST.clean_chunks(ST.read_stream(spark, path, schemas.CHAT_CHUNKS))), tmp_path)
+    assert [tuple(r) for r in got] == [("s", 3, "acd")]
+
+
+def test_answers_left_open_end_by_event_time(spark, tmp_path):
+    def at(row, ts):
+        return row | {"ts": ts}
+
+    path = write_batches(tmp_path / "in", [
+        [at(chunk("s", 0, "half "), "2024-01-01T00:00:00Z")], [at(chunk("s", 1, "an answer"), "2024-01-01T00:01:00Z"), at(chunk("t", 0, "done", True), "2024-01-01T00:01:00Z")],
+        [at(chunk("u", 0, "x"), "2024-01-01T05:00:00Z")], [at(chunk("u", 1, "y", True), "2024-01-01T05:00:30Z")]])
+    stream = ST.read_stream(spark, path, schemas.CHAT_CHUNKS).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = run(ST.assemble_messages(stream, "ts", "1 minute", 60_000), tmp_path)
+    assert sorted(tuple(r) for r in got) == [("s", 1, "half an answer"), ("t", 0, "done"), ("u", 1, "xy")]
