@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.arrays import let, places
+from ..functions.arrays import highest_before, let, places
 from ..functions.choice import hash_number
 
 TAGS: list[str] = ["O"] + [f"{side}-{label}" for label in C.TAG_LABELS for side in ("B", "I")]
@@ -23,13 +23,52 @@ def words(text: Column) -> Column:
 
 
 def bio_tags(word_spans: Column, entities: Column) -> Column:
-    """A tag per word: the first listed entity that overlaps it, B- when the word starts at or before it."""
-
-    def build(b: Column) -> Column:
-        def tag(w: Column) -> Column:
-            hit = F.get(
-                F.filter(b["e"], lambda e: (F.greatest(w["start"], e["start"]) < F.least(w["end"], e["end"]))), F.lit(0)
-            )
+    """A tag per word: the first listed entity that overlaps it, B- when the word starts at or before it.
+
+    Entities are sorted and cut into islands that do not overlap.  The ends of
+    islands sorted among the starts of words, and their starts among the ends of
+    words, tell which islands a word meets; it is compared with their entities
+    only.  Words must be in order and apart, as :func:`words` gives them.
+    """
+
+    def numbered(e: Column, i: Column) -> Column:
+        return F.struct(e["start"].alias("start"), e["end"].alias("end"), i.alias("no"), e["label"].alias("label"))
+
+    def with_reach(e: Column) -> Column:
+        return F.struct(e.alias("e"), highest_before(F.transform(e, lambda x: x["end"])).alias("reach"))
+
+    def with_edges(b: Column) -> Column:
+        edges = F.filter(F.transform(b["e"], lambda x, i: F.when(F.get(b["reach"], i) <= x["start"], i)), lambda i: i.isNotNull())
+        return F.struct(b["e"].alias("e"), b["reach"].alias("reach"), edges.alias("edges"))
+
+    def islands(b: Column) -> Column:
+        def island(first: Column, j: Column) -> Column:
+            after = F.get(b["edges"], j + 1)
+            part = F.slice(b["e"], first + 1, F.coalesce(after, F.size(b["e"])) - first)
+            listed = F.sort_array(F.transform(part, lambda x: F.struct(x["no"].alias("no"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"))))
+            end = F.coalesce(F.get(b["reach"], after), F.array_max(F.transform(part, lambda x: x["end"])))
+            return F.struct(F.get(b["e"], first)["start"].alias("start"), end.alias("end"), listed.alias("listed"))
+
+        return F.transform(b["edges"], island)
+
+    def ranks(words: Column, others: Column, word_first: bool) -> Column:
+        """Where each of the words stands when sorted among others; less its own number, how many of these come before."""
+        kind = F.lit(0 if word_first else 2)
+        points = F.concat(
+            F.transform(others, lambda x: F.struct(x.alias("at"), F.lit(1).alias("kind"))),
+            F.transform(words, lambda x: F.struct(x.alias("at"), kind.alias("kind"))))
+        return F.filter(F.transform(F.sort_array(points), lambda p, k: F.when(p["kind"] != 1, k)), lambda k: k.isNotNull())
+
+    def with_ranks(b: Column) -> Column:
+        first = ranks(F.transform(b["w"], lambda w: w["start"]), F.transform(b["i"], lambda x: x["end"]), False)
+        after = ranks(F.transform(b["w"], lambda w: w["end"]), F.transform(b["i"], lambda x: x["start"]), True)
+        return F.struct(b["w"].alias("w"), b["i"].alias("i"), first.alias("first"), after.alias("after"))
+
+    def tagged(b: Column) -> Column:
+        def tag(w: Column, k: Column) -> Column:
+            first, after = F.get(b["first"], k) - k, F.get(b["after"], k) - k
+            near = F.flatten(F.transform(F.slice(b["i"], first + 1, F.greatest(after - first, F.lit(0))), lambda x: x["listed"]))
+            hit = F.array_min(F.filter(near, lambda e: F.greatest(w["start"], e["start"]) < F.least(w["end"], e["end"])))
             return let(
                 hit,
                 lambda e: F.when(e.isNull(), F.lit("O"))
@@ -39,7 +78,11 @@ def bio_tags(word_spans: Column, entities: Column) -> Column:
 
         return F.transform(b["w"], tag)
 
-    return let(F.struct(word_spans.alias("w"), entities.alias("e")), build)
+    known = F.sort_array(F.filter(F.transform(entities, numbered), lambda x: x["start"] < x["end"]))
+    found = let(let(let(known, with_reach), with_edges), islands)
+    with_islands = F.struct(word_spans.alias("w"), found.alias("i"))
+    some = let(let(with_islands, with_ranks), tagged)
+    return F.when(F.size(entities) > 0, some).otherwise(F.transform(word_spans, lambda w: F.lit("O")))
 
 
 def _tag_table() -> Column:

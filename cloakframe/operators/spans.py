@@ -99,20 +99,29 @@ def is_prefix_label(label: Column) -> Column:
 def join_pieces(spans: Column) -> Column:
     """Merge consecutive model pieces of one label that touch (start <= previous end + 1).
 
-    The end is the newest piece's end and the score the best of the run.
+    The end is the newest piece's end and the score the best of the run.  Whether
+    a piece goes on with a run depends on the piece before it alone, so runs are
+    cut out between the places where one begins; nothing is folded.
     """
 
-    def step(merged: Column, piece: Column) -> Column:
-        def choose(prev: Column) -> Column:
-            joined = span(
-                prev["start"], piece["end"], prev["label"], F.greatest(prev["score"], piece["score"]), prev["source"]
-            )
-            same = prev.isNotNull() & (prev["label"] == piece["label"]) & (piece["start"] <= prev["end"] + 1)
-            return F.when(same, replace_last(merged, joined)).otherwise(F.concat(merged, F.array(piece)))
+    def with_edges(p: Column) -> Column:
+        def edge(piece: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(p, i - 1))
+            goes_on = (before["label"] == piece["label"]) & (piece["start"] <= before["end"] + 1)
+            return F.when(~F.coalesce(goes_on, F.lit(False)), i)
 
-        return let(last(merged), choose)
+        return F.struct(p.alias("p"), F.filter(F.transform(p, edge), lambda i: i.isNotNull()).alias("edges"))
+
+    def cut(b: Column) -> Column:
+        def run(first: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(b["edges"], j + 1), F.size(b["p"]))
+            best = F.array_max(F.transform(F.slice(b["p"], first + 1, end - first), lambda x: x["score"]))
+            head = F.get(b["p"], first)
+            return span(head["start"], F.get(b["p"], end - 1)["end"], head["label"], best, head["source"])
+
+        return F.transform(b["edges"], run)
 
-    return folded_in_runs(spans, lambda run: F.aggregate(run, no_spans(), step), 1)
+    return let(let(spans, with_edges), cut).cast(SPANS)
 
 
 def not_covered(spans: Column, rules: Column) -> Column:
