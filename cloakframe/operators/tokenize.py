@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import catalog as C
 from ..functions import crypto
@@ -220,6 +221,35 @@ def tokenize(
     return with_tokenized(known, text)
 
 
+def text_paths(kind: T.DataType, name: str = "text", above: str = "") -> list[str]:
+    """Dotted paths of the string fields of a struct that have a name, at any depth of structs."""
+    out = []
+    for field in kind.fields if isinstance(kind, T.StructType) else []:
+        path = f"{above}`{field.name}`"
+        if field.name == name and isinstance(field.dataType, T.StringType):
+            out.append(path)
+        out += text_paths(field.dataType, name, f"{path}.")
+    return out
+
+
+def tokenize_fields(df: DataFrame, column: str, name: str = "text", paths: list[str] | None = None, **options) -> DataFrame:
+    """Tokenize the text fields of a struct column; its other fields stay as they are.
+
+    ``paths`` names fields by dotted path; without it the schema is searched for
+    string fields called ``name``.  ``entities`` maps each path to the entities of
+    its field.  NULL fields and NULL structs stay NULL.
+    """
+    found = text_paths(df.schema[column].dataType, name) if paths is None else paths
+    made, entities = df, []
+    for path in found:
+        made = tokenize(made.withColumn("_text", F.col(f"`{column}`.{path}")), "_text", **options)
+        made = made.withColumn(column, F.col(f"`{column}`").withField(path, F.col("tokenized"))).withColumnRenamed("entities", f"_found{len(entities) // 2}")
+        made = made.drop("_text", "tokenized")
+        entities += [F.lit(path.replace("`", "")), F.col(f"_found{len(entities) // 2}")]
+    kept = F.create_map(*entities) if entities else F.lit(None).cast(f"map<string,array<{ENTITY}>>")
+    return made.withColumn("entities", kept).drop(*[f"_found{i}" for i in range(len(found))])
+
+
 def tokenize_messages(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Sanitize, then tokenize; the sanitized text replaces the input."""
     return tokenize(df.withColumn(text, sanitize(F.col(text))), text, **options)

@@ -92,10 +92,10 @@ def _aligned(rows):
     return made.select("id", F.array_join(F.transform("l", lambda x: x.cast("string")), " ").alias("labels"))
 
 
-query("best_labels", """SELECT vec_id, list_position(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)))) - 1 AS predicted, label AS actual
+query("best_labels", """SELECT vec_id, list_position(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) - 1 AS predicted, label AS actual
 FROM embeddings WHERE label <> 3""")(
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.inline(L.best_labels(
-        F.array(F.slice("embedding", 1, 8).cast("array<double>")), F.array(F.when(F.col("label") == 3, -100).otherwise(F.col("label")))))))
+        F.array(F.col("embedding").cast("array<double>")), F.array(F.when(F.col("label") == 3, -100).otherwise(F.col("label")))))))
 
 # Prediction = gold tags with every tag of a long word set to O.
 query("entity_scores", f"""WITH {BIO}, b AS (SELECT id, i, tag, CASE WHEN length(v) > 8 THEN 'O' ELSE tag END AS guess FROM tags),

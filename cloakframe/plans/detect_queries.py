@@ -61,8 +61,9 @@ query("entity_allow_list", f"WITH {Q.detection(C.select_rules(ALLOWED), DOCS)} {
     lambda s, d: span_rows(D.with_rule_spans(documents(s, d), entities=ALLOWED)))
 
 PAGE_RULES = C.select_rules(["URL"])
-query("urls_of_pages", f"WITH {Q.detection(PAGE_RULES, 'SELECT page_id AS id, url AS text FROM pages')} {SPAN_SQL} FROM spans JOIN src USING (id)")(
-    lambda s, d: span_rows(D.with_rule_spans(table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("text")), entities=["URL"])))
+PAGE_TEXT = "coalesce(url, '') || chr(10) || coalesce(html, '')"
+query("urls_of_pages", f"WITH {Q.detection(PAGE_RULES, f'SELECT page_id AS id, {PAGE_TEXT} AS text FROM pages')} {SPAN_SQL} FROM spans JOIN src USING (id)")(
+    lambda s, d: span_rows(D.with_rule_spans(table(s, d, "pages").select(F.col("page_id").alias("id"), F.expr(PAGE_TEXT).alias("text")), entities=["URL"])))
 
 # One query per entity: all its patterns, context, overlap and trimming on its own line of text.
 for _entity, _text in X.ENTITY_TEXT.items():
@@ -271,11 +272,10 @@ query("tokenize_structs", "WITH " + Q.tokenization(C.CATALOGUE, "SELECT event_id
 
 
 def _struct_rows(events):
-    """Only the text field of a struct changes; its other fields stay."""
+    """Only the text fields of a struct change; its other fields stay."""
     item = F.struct(
         F.expr("event_type || ' by 10.0.' || (user_id % 256) || '.9 k ' || props").alias("text"), F.col("user_id").alias("user_id"))
-    rows = events.select(F.col("event_id").alias("id"), item.alias("item")).withColumn("text", F.col("item.text"))
-    made = T.tokenize(rows).withColumn("item", F.col("item").withField("text", F.col("tokenized")))
+    made = T.tokenize_fields(events.select(F.col("event_id").alias("id"), item.alias("item")), "item")
     return made.select("id", F.col("item.user_id").alias("user_id"), F.col("item.text").alias("text"))
 
 

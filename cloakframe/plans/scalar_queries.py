@@ -89,7 +89,7 @@ FROM (SELECT c_custkey, {HEX_TEXT} AS h FROM customer)""")(
 query("key_fingerprint", "SELECT c_custkey, substr(sha256(c_name), 1, 12) AS key_ref FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", X.key_fingerprint(F.col("c_name").cast("binary")).alias("key_ref")))
 
-MARKED = "left(text, 40) || '[EMAIL_' || substr(md5(text), 1, 8) || ']' || role || '[IP_' || substr(md5(role), 1, 8) || '][BAD_xyz]'"
+MARKED = "text || '[EMAIL_' || substr(md5(text), 1, 8) || ']' || role || '[IP_' || substr(md5(role), 1, 8) || '][BAD_xyz]'"
 query("token_segments", f"""
 WITH t AS (SELECT conv_id, turn, {MARKED} AS x FROM conversations),
 g AS (SELECT conv_id, turn, regexp_extract_all(x, '\\[[A-Z_]{{1,30}}_[0-9a-f]{{8}}\\]') AS m,

@@ -368,3 +368,20 @@ def test_added_rules_are_checked(spark):
     rules = C.add_rule([], C.Rule("TICKET", "ticket", r"\bT-\d{3}\b", 0.9, ("never",), 8))
     made = T.tokenize(spark.createDataFrame([("see T-123",)], "text string"), rules=rules).first()
     assert made.tokenized.startswith("see [TICKET_")
+
+
+def test_text_fields_of_structs_are_found_by_schema(spark):
+    rows = spark.createDataFrame(
+        [(1, (("mail ann@x.org", 5), "host 10.0.0.7", ["ann@x.org"])), (2, ((None, 6), "plain", [])), (3, (None, None, None)), (4, None)],
+        "id int, item struct<inner:struct<text:string,n:int>,text:string,other:array<string>>")
+    made = {r["id"]: r for r in T.tokenize_fields(rows, "item").collect()}
+    assert T.text_paths(rows.schema["item"].dataType) == ["`inner`.`text`", "`text`"]
+    assert made[1]["item"]["inner"]["text"] == "mail [EMAIL_d249273c]" and made[1]["item"]["inner"]["n"] == 5
+    assert made[1]["item"]["text"] == "host [IP_00958fd0]" and made[1]["item"]["other"] == ["ann@x.org"]
+    assert made[2]["item"]["inner"]["text"] is None and made[2]["item"]["text"] == "plain"
+    assert made[3]["item"] is not None and made[3]["item"]["inner"] is None and made[4]["item"] is None
+    assert [e["value"] for e in made[1]["entities"]["inner.text"]] == ["ann@x.org"] and [e["label"] for e in made[1]["entities"]["text"]] == ["IP"]
+    only = T.tokenize_fields(rows, "item", paths=["text"]).filter("id = 1").first()
+    assert only["item"]["inner"]["text"] == "mail ann@x.org" and only["item"]["text"] == "host [IP_00958fd0]"
+    none = T.tokenize_fields(rows.select("id", F.struct("id").alias("item")), "item").first()
+    assert none["entities"] is None
