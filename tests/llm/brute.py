@@ -36,9 +36,9 @@ def shingles(text, k=3):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def linked_components(docs, percent=90):
+def linked_components(docs, percent=90, k=3):
     """doc_id -> (n_shingles, component) of (doc_id, text) rows, every pair compared."""
-    sets = [(d, shingles(t)) for d, t in docs]
+    sets = [(d, shingles(t, k)) for d, t in docs]
     parent = {d: d for d, _ in sets}
 
     def root(x):

@@ -285,7 +285,7 @@ def test_removed_bytes_of_periodic_and_odd_texts(spark, hostile, empty):
 @given(st.lists(st.lists(st.binary(min_size=0, max_size=3), max_size=20), min_size=0, max_size=6))
 def test_loser_tree_merges(runs):
     width = suffix._KEY
-    ordered = [np.array([list(x.ljust(width, b"\1")) for x in sorted(set(r))], np.uint8).reshape(-1, width) for r in runs]
+    ordered = [np.array([list(x) for x in sorted({x.ljust(width, b"\1") for x in r})], np.uint8).reshape(-1, width) for r in runs]
     coded = [suffix._decoded(*suffix.front_code(k)) for k in ordered]
     keys, shared, source = suffix.merge_runs(coded) if coded else ([], [], [])
     assert keys == sorted(bytes(k) for run in ordered for k in run)

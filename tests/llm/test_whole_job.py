@@ -15,13 +15,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def linked(docs, width, percent):
-    """Like ``brute.linked_components``, for shingles of any width."""
-    plain = brute.shingles
-    brute.shingles = lambda text: plain(text, width)
-    try:
-        return brute.linked_components(docs, percent)
-    finally:
-        brute.shingles = plain
+    """``brute.linked_components`` for shingles of any width."""
+    return brute.linked_components(docs, percent, width)
 
 
 # --- near copies at five words and 0.8 ---------------------------------------------------------------------------
