@@ -60,7 +60,9 @@ def resolve(
     ``restored_tokens``, ``missing_tokens`` and ``failed_tokens``.
 
     Only allowed, distinct tokens travel: they are looked up in one join with
-    hot tokens salted, and come back as one small map per row.
+    hot tokens salted, and come back as one small map per row.  Rows that show no
+    token stay where they are; the others alone are shuffled for the join back.
+    The input is read three times: pass a stored or persisted table.
     """
     if key is None:
         raise ValueError("a key column is needed")
@@ -82,7 +84,8 @@ def resolve(
             )
     if not scopes:
         raise ValueError("a session or a dataset column is needed")
-    staged = df.withColumn("_wanted", wanted)
+    every = df.withColumn("_wanted", wanted)
+    staged = every.filter(F.size("_wanted") > 0)
     asked = (
         exploded(staged, [F.col(id).alias("_id"), key.alias("_key"), F.array(*scopes).alias("_scopes")], "_wanted", "token")
         .select("_id", "_key", "token", F.inline("_scopes"))
@@ -124,11 +127,13 @@ def resolve(
     bound = F.struct(
         F.col(text).alias("t"), F.col("_wanted").alias("w"), F.col("_map0").alias("m0"), F.col("_map1").alias("m1")
     )
-    result = joined.withColumn("_r", let(bound, build))
-    return result.withColumns({
+    result = joined.withColumn("_r", let(bound, build)).withColumns({
         out: F.col("_r.text"), "restored_tokens": F.col("_r.restored"),
         "missing_tokens": F.col("_r.missing"), "failed_tokens": F.col("_r.failed"),
     }).drop("_r", "_wanted", "_map0", "_map1")
+    nothing = every.filter(F.coalesce(F.size("_wanted"), F.lit(0)) <= 0)
+    lists = {name: F.col("_wanted") for name in ("restored_tokens", "missing_tokens", "failed_tokens")}
+    return result.unionByName(nothing.withColumns({out: F.col(text), **lists}).drop("_wanted"))
 
 
 def restore_summary(resolved: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import access as A
 from ..operators import restore as R
 from ..operators import tokenize as T
 from ..operators import vault as V
+from ..session import run_folder
 from . import sqltext as Q
 from .registry import query, rel, spread, table
 
@@ -110,6 +111,13 @@ def _lite(s, d):
     return T.tokenize(spread(rows), rules=LITE)
 
 
+def _lite_written(s, d):
+    """Tokenized once and stored: requests and vault are read from it."""
+    path = run_folder(s)
+    _lite(s, d).write.parquet(path)
+    return s.read.parquet(path)
+
+
 def _stored(made):
     """Session maps without addresses and SSNs, dataset maps with the addresses."""
     stamp = F.lit("2024-01-01").cast("timestamp")
@@ -124,7 +132,7 @@ def _requests(made):
 
 
 def _resolved(s, d):
-    made = _lite(s, d)
+    made = _lite_written(s, d)
     asked = A.allowed_types(_requests(made), rel(s, d, GRANTS))
     return R.resolve(asked, _stored(made), "id", session="id", dataset="dataset_id", allowed="allowed", key=_key())
 
@@ -146,7 +154,7 @@ query("restore_text", f"WITH {LITE_TOKENS}, shown AS (SELECT *, CASE WHEN label
 
 
 def _restored(s, d):
-    made = _lite(s, d)
+    made = _lite_written(s, d)
     return R.resolve(_requests(made), _stored(made), "id", session="id", dataset="dataset_id", key=_key())
 
 

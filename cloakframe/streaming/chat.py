@@ -308,7 +308,7 @@ def resolve_chunks(
     def write(batch: DataFrame, batch_id: int) -> None:
         staged = batch.join(sessions, "session_id", "left").withColumn(
             "chunk_id", F.concat_ws(":", "session_id", F.col("seq").cast("string"))
-        )
+        ).persist()  # what a stream made is made once
         rows = vault
         if isinstance(vault, str):
             scopes = staged.select(F.inline(F.array(
@@ -327,6 +327,7 @@ def resolve_chunks(
             )
         finally:
             done.unpersist()
+            staged.unpersist()
 
     return write
 
