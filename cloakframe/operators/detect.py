@@ -260,6 +260,11 @@ def check_threshold(threshold: float) -> float:
     return threshold
 
 
+def valid_threshold(threshold: Column) -> Column:
+    """Whether a threshold lies from 0 to 1; NULL and NaN do not."""
+    return F.coalesce((threshold >= 0.0) & (threshold <= 1.0), F.lit(False))
+
+
 def with_model_spans(
     df: DataFrame, pieces: str, rules: str | None = None, threshold: float = catalog.MODEL_THRESHOLD, out: str = "spans"
 ) -> DataFrame:
