@@ -115,6 +115,22 @@ def _tagged(s, d):
     return TG.tag_words(model, parts.filter("split = 'test'"), "c_custkey").select("c_custkey", "start", "end", "tag")
 
 
+F1_FLOOR = 0.9
+_HELD_OUT = HASH.format("'42|' || c_custkey || '|split'")
+
+
+def _sequence_scores(s, d):
+    """Entities of held-out samples by most probable tag sequences, learned on the others."""
+    parts = L.split_samples(_samples(s, d), "c_custkey").withColumn("actual", L.bio_tags(L.words(F.col("text")), F.col("entities")))
+    model = TG.fit_sequences(parts.filter("split = 'train'"), "c_custkey", features=1024, iterations=8)
+    tagged = TG.tag_texts(model, parts.filter("split = 'test'"))
+    return L.evaluate(tagged, "tags", "actual").join(tagged.agg(F.count(F.lit(1)).alias("held_out")))
+
+
+query("tag_sequences", f"SELECT count(*) AS held_out, true AS f1_reached FROM customer WHERE {_HELD_OUT} % 1000 < 200")(
+    lambda s, d: _sequence_scores(s, d).select("held_out", (F.col("f1") >= F1_FLOOR).alias("f1_reached")))
+query("tag_sequence_figures")(_sequence_scores)
+
 # Chat examples.
 FORM = "'Top ' || c_custkey || chr(10) || 'Contact:' || chr(10) || '- Email: [EMAIL_' || substr(md5(c_name), 1, 8) || ']' || chr(10) || 'Home Phone:  [PHONE_' || substr(md5(c_mktsegment), 1, 8) || ']' || chr(10) || 'Notes:' || chr(10) || 'plain: ' || c_mktsegment || chr(10) || 'Contact:' || chr(10) || '- again' || chr(10)"
 query("field_pairs", f"SELECT c_custkey, unnest(['Email', 'Home Phone']) AS field, unnest(['[EMAIL_' || substr(md5(c_name), 1, 8) || ']', '[PHONE_' || substr(md5(c_mktsegment), 1, 8) || ']']) AS token FROM customer")(
