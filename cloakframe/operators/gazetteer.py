@@ -8,6 +8,7 @@ looked up word by word in hash tables, so cost does not grow with the phrases.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,7 @@ from .skew import lookup_join
 
 WORD = r"[\p{L}\p{N}\p{M}_]+"
 PHRASE_BYTES = 64 << 20  # a larger table is joined instead of sent to all tasks
+PART_CHARS = 1 << 20  # texts are worked on in parts of about so many characters
 SCORE = 0.85
 _PIECE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("score", pa.float64()), ("source", pa.string())])
 
@@ -78,10 +80,11 @@ class Phrases:
             counts.setdefault(_word().match(r["phrase"]).group(), set()).add(r["words"])
         self.counts = {first: sorted(n, reverse=True) for first, n in counts.items()}
 
-    def find(self, text: str) -> list[dict]:
+    def find(self, text: str) -> Iterator[tuple[int, int, str, float]]:
+        """(start, end, label, score) of the phrases of a text, in order."""
         low = lowered(text)
         at = _bounds(low)
-        out, i = [], 0
+        i = 0
         while i < len(at):
             start, step = at[i][0], 1
             for n in self.counts.get(low[start : at[i][1]], ()):
@@ -90,11 +93,22 @@ class Phrases:
                 end = at[i + n - 1][1]
                 hit = self.known.get(low[start:end])
                 if hit:
-                    out.append({"start": start, "end": end, "label": hit[0], "score": hit[1], "source": MODEL_SOURCE})
+                    yield (start, end, *hit)
                     step = n
                     break
             i += step
-        return out
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``PART_CHARS`` characters; every range has a row at least."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= PART_CHARS:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _looked_up(df: DataFrame, table: DataFrame, text: str, out: str) -> DataFrame:
@@ -105,8 +119,15 @@ def _looked_up(df: DataFrame, table: DataFrame, text: str, out: str) -> DataFram
 
     def work(batches):
         for batch in batches:
-            found = [shared.value.find(t or "") for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_PIECE))], names=[*batch.schema.names, out])
+            texts = batch.column(place).to_pylist()
+            for a, b in _parts(texts):
+                found = [list(shared.value.find(t or "")) for t in texts[a:b]]
+                starts, ends, labels, scores = (pa.array([p[k] for row in found for p in row], _PIECE.field(k).type) for k in range(4))
+                sources = pa.array(np.full(len(starts), MODEL_SOURCE, object), pa.string())
+                pieces = pa.StructArray.from_arrays([starts, ends, labels, scores, sources], fields=list(_PIECE))
+                offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns), pa.ListArray.from_arrays(offsets, pieces)], names=[*batch.schema.names, out])
 
     return df.mapInArrow(work, schema)
 
