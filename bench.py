@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -12,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from cloakframe.plans import QUERIES  # noqa: E402
 from cloakframe.session import local_session  # noqa: E402
 
+ROUNDS = 3  # timed runs of a query; the middle one counts
 HEADLINE = [
     "scan_patterns", "resolve_overlaps", "tokenize_documents", "tokenize_messages", "run_statistics",
     "resolve_under_grants", "disclosure_audit", "vault_upsert", "vault_sessions", "word_spans", "exact_split",
@@ -28,9 +30,12 @@ def main() -> None:
     seconds = {}
     for name in HEADLINE:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()  # compiles code; not timed
-        start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        runs = []
+        for _ in range(ROUNDS):
+            start = time.perf_counter()
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(runs), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({
