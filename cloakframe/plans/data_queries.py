@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import catalog as C
 from ..functions.arrays import exploded
 from ..operators import chat as CH
 from ..operators import labels as L
@@ -14,6 +15,7 @@ from ..operators import tokenize as T
 from ..operators import vectors as VX
 from ..session import run_folder
 from ..streaming import chat as ST
+from . import generated_sql as GS
 from . import sqltext as Q
 from .registry import documents, query, rel, spread, table
 
@@ -35,7 +37,7 @@ def _tokenized_records(s, d):
     return T.tokenize(_records(s, d)).select("c_custkey", "file_name", F.col("tokenized").alias("text"))
 
 
-query("annotated_samples")(lambda s, d: _samples(s, d).select("c_custkey", "text", F.to_json("entities").alias("entities")))
+query("annotated_samples", GS.samples())(lambda s, d: _samples(s, d).select("c_custkey", "text", F.to_json("entities").alias("entities")))
 
 FILL = ("Chart {mrn} for {emp_id}.", "Badge {emp_id}", "Nothing to note.")
 _H = lambda key: HASH.format(f"'42|' || k || '|{key}'")
@@ -46,7 +48,7 @@ SELECT k AS c_custkey, CASE t WHEN 0 THEN 'Chart ' || mrn || ' for ' || emp || '
   CASE t WHEN 0 THEN '6-16-MRN,21-29-EMP_ID' WHEN 1 THEN '6-14-EMP_ID' ELSE '' END AS entities FROM w""")(
     lambda s, d: SM.annotated_samples(table(s, d, "customer"), "c_custkey", templates=FILL).select(
         "c_custkey", "text", F.array_join(F.transform("entities", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"), e["label"])), ",").alias("entities")))
-query("records")(lambda s, d: _records(s, d).select("c_custkey", "file_name", "text"))
+query("records", GS.records())(lambda s, d: _records(s, d).select("c_custkey", "file_name", "text"))
 query("record_quotas", """WITH n AS (SELECT count(*) AS n FROM customer), t(i, record_type) AS (VALUES (0, 'personal_banking'), (1, 'intl_business'), (2, 'gov_contractor'), (3, 'healthcare_professional'), (4, 'tech_startup'))
 SELECT record_type, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS n, record_type || '_000000.txt' AS first_file, record_type || '_' || printf('%06d', n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END - 1) || '.txt' AS last_file FROM n, t""")(
     lambda s, d: _quotas(table(s, d, "customer").select("c_custkey")))
@@ -138,10 +140,11 @@ query("field_pairs", f"SELECT c_custkey, unnest(['Email', 'Home Phone']) AS fiel
 query("sections", "SELECT c_custkey, unnest(['header', 'Contact', 'Notes']) AS name, unnest(['Top ' || c_custkey, '- again', 'plain: ' || c_mktsegment]) AS body FROM customer")(
     lambda s, d: exploded(table(s, d, "customer").select("c_custkey", F.expr(FORM).alias("text")), ["c_custkey"], CH.sections(F.col("text")), "x").select(
         "c_custkey", "x.name", F.array_join("x.lines", "\n").alias("body")))
+RECORD_TOKENS = Q.tokenization(C.CATALOGUE, f"SELECT c_custkey AS id, text FROM ({GS.records()})")
 for _kind in CH.KINDS:
-    query(f"chat_{_kind}_examples")(lambda s, d, k=_kind: CH.examples_of_kind(_tokenized_records(s, d), k, "c_custkey").select(
+    query(f"chat_{_kind}_examples", GS.examples_of_kind(RECORD_TOKENS, _kind))(lambda s, d, k=_kind: CH.examples_of_kind(_tokenized_records(s, d), k, "c_custkey").select(
         "c_custkey", F.to_json("messages").alias("messages")))
-query("chat_examples")(lambda s, d: CH.chat_examples(_tokenized_records(s, d), "c_custkey").select(
+query("chat_examples", GS.chat_examples(RECORD_TOKENS, CH.KINDS))(lambda s, d: CH.chat_examples(_tokenized_records(s, d), "c_custkey").select(
     "c_custkey", "example_no", "kind", F.to_json("messages").alias("messages")))
 SPLIT = "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= greatest(1, CAST(floor(count(*) OVER () * CAST(0.9 AS DOUBLE)) AS BIGINT)) THEN 'train' ELSE 'val' END AS split FROM documents"
 query("exact_split", SPLIT)(lambda s, d: CH.exact_split(table(s, d, "documents").select("doc_id"), ["doc_id"]))
