@@ -194,7 +194,8 @@ def tokenize(
     """Detect, merge and replace in one pass over the rows.
 
     ``phrases`` (phrase, label) is a table of names (people, places, groups) that
-    count wherever no rule span lies; see ``gazetteer.with_phrases``.
+    count wherever no rule span lies.  A table too large for every task is joined
+    by ``gazetteer.with_phrases`` beforehand and passed as ``model_spans``.
 
     Adds ``entities`` and ``tokenized``.  Without ``scope`` each row is its own
     token scope and the plan has no shuffle; with ``scope`` and ``unit`` values
@@ -205,7 +206,7 @@ def tokenize(
     if mode == "encrypt" and key is None:
         raise ValueError("mode encrypt needs a key column")
     if phrases is not None:
-        df = gazetteer.with_phrases(df, phrases, text, "_named", unit)
+        df = gazetteer.with_phrases(df, phrases, text, "_named")
     found = D.with_rule_spans(df, text, rules, entities, trim, out="_spans", **detect_options)
     if phrases is not None:
         found = D.with_model_spans(found, "_named", "_spans", 0.0, out="_spans").drop("_named")
