@@ -22,6 +22,8 @@ DOCS_PER_LANGUAGE = 2000  # expected training documents per language: the bound
 MAX_LANGUAGES = 2000
 UNDECIDED = "und"
 LOW_SHARE, MARGIN = 0.001, 0.75  # the floor: this part of the score that all but this share of the held-out texts reach
+ROWS_OUT = 1024  # rows handed back at a time
+RUN_BYTES = 1 << 19  # text whose grams are counted at a time; they take about a hundred times as much
 _ROWS = 1 << 15
 
 
@@ -89,9 +91,10 @@ def top_grams(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray, n: int, s
 
 def _small_runs(column):
     for a, b, data, offsets in C.chunked(column):
-        for i in range(0, b - a, _ROWS):
-            o = offsets[i : min(i + _ROWS, b - a) + 1]
-            yield a + i, a + i + len(o) - 1, data[o[0] : o[-1]], o - o[0]
+        for first, end in C.runs(offsets, RUN_BYTES):
+            for i in range(first, end, _ROWS):
+                o = offsets[i : min(i + _ROWS, end) + 1]
+                yield a + i, a + i + len(o) - 1, data[o[0] : o[-1]], o - o[0]
 
 
 @dataclass
@@ -146,6 +149,7 @@ def _drawn(known: DataFrame, per_language: int, seed: str) -> DataFrame | None:
 
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, size: int = PROFILE, seed: str = "lid") -> Profiles:
     """Profiles from a bounded, hash-drawn sample of the labelled documents that are not held out."""
+    C.small_batches(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     drawn = _drawn(known, per_language, seed)
     if drawn is None:
@@ -176,14 +180,17 @@ def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, size: int = PROF
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
+    C.small_batches(docs.sparkSession)
     name, score = C.free(docs, "lang_pred"), C.free(docs, "score")
     schema = docs.select("*", F.lit("").alias(name), F.lit(0.0).alias(score)).schema
     at = docs.columns.index("text")
 
     def work(batches):
-        for batch in batches:
-            names, scores = profiles.predict(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, name, score])
+        for whole in batches:
+            for a in range(0, len(whole), ROWS_OUT):
+                batch = whole.slice(a, ROWS_OUT)
+                names, scores = profiles.predict(batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, name, score])
 
     return docs.mapInArrow(work, schema)
 
