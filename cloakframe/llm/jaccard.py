@@ -33,6 +33,8 @@ WIDTH = 3
 LARGEST_LIGHT = 64  # the boundary is looked for up to this size
 SAMPLE, COMMON = 8000, 3  # texts in which common tokens are counted, and how many must hold one
 BLOCK = 1500  # sets of a block when a group is compared
+BLOCK_TOKENS = 1 << 20  # and tokens (8 bytes each), of all sets together
+LIST_KEYS = 1 << 20  # keys of a bucket of inverted lists, about 6 MB when packed
 _FIRST = -(1 << 63)
 
 
@@ -85,6 +87,11 @@ def light_cost(n: int, percent: int = PERCENT) -> int:
     return sum(comb(n, c) for c in subset_sizes(n, percent))
 
 
+def heavy_cost(n: int, percent: int = PERCENT) -> int:
+    """The most keys of a large set."""
+    return sum(may_differ(u, percent) + 1 for u, _ in block_counts(n, percent))
+
+
 def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     """The largest small size, chosen by cost: the number of keys that sets of these sizes make.
 
@@ -94,7 +101,7 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
 
     def cost(limit: int) -> int:
         light = sum(k * light_cost(n, percent) for n, k in sizes.items() if n <= limit)
-        return light + sum(k * sum(may_differ(u, percent) + 1 for u, _ in block_counts(n, percent)) for n, k in sizes.items() if 100 * n > percent * limit)
+        return light + sum(k * heavy_cost(n, percent) for n, k in sizes.items() if 100 * n > percent * limit)
 
     small = [n for n in range(1, LARGEST_LIGHT + 1) if light_cost(n, percent) <= 1000]
     return min(small, key=lambda n: (cost(n), n))
@@ -228,11 +235,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(bucket, postings): keys and classes, each class once per batch."""
+    """(bucket, postings): keys and classes, each class once per task."""
 
     def work(batches):
+        seen = set()
         for batch in batches:
-            keys, owners, seen = [], [], set()
+            keys, owners = [], []
             for _, tokens in _sets(batch, 2, width):
                 sig = signature(tokens) if len(tokens) else None
                 if sig is None or sig in seen:
@@ -257,6 +265,14 @@ def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: i
     return keyed.mapInArrow(work, "bucket int, postings binary")
 
 
+def _buckets(rows: DataFrame, small: dict[int, int], limit: int, percent: int) -> int:
+    """How many buckets the keys of all rows fill; keys of large sets rise with their size."""
+    each = heavy_cost(1 << 20, percent) / (1 << 20)
+    light = sum(k * light_cost(n, percent) for n, k in small.items() if n <= limit)
+    heavy = rows.filter(F.col("n") * 100 > percent * limit).agg(F.sum(F.col("n") * each + 4)).first()[0] or 0
+    return max(C.partitions(rows.sparkSession), -(-int(light + heavy) // LIST_KEYS))
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """Edges that hold the classes of each list together: all to the smallest."""
     found = [_unpacked(b) for b in table.column("postings").to_pylist()]
@@ -322,24 +338,26 @@ def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame
     Classes are known by their signature; ids only choose the representative,
     so rows that share an id (or have none) are not linked by it.
     """
-    spark = docs.sparkSession
-    parts = C.partitions(spark)
+    C.small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     facts = C.staged(_facts(keyed, width))
     rows = facts.select("doc_id", "tie", "n", "s1", "s2")
-    sizes = rows.filter(F.col("n").between(1, 2 * LARGEST_LIGHT)).groupBy("n").count().collect()
-    limit = boundary({r[0]: r[1] for r in sizes}, percent)
+    sizes = {r[0]: r[1] for r in rows.filter(F.col("n").between(1, 2 * LARGEST_LIGHT)).groupBy("n").count().collect()}
+    limit = boundary(sizes, percent)
     grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     classes = C.staged(grouped.select("n", "s1", "s2", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")))
 
     common = _common(keyed, rows.count(), width) if percent < 90 else np.empty(0, np.uint64)
-    listed = _postings(keyed, limit, parts, width, percent, common)
+    listed = _postings(keyed, limit, _buckets(rows, sizes, limit, percent), width, percent, common)
     edges = listed.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
     groups = C.staged(connected_components(edges))
 
-    # A group larger than a block is cut; every pair of its blocks is one unit of comparison.
-    big = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    members = groups.join(big, "component").join(classes, F.col("node") == F.col("s1")).select(
+    # A group larger than a block, in sets or in tokens, is cut; every pair of its blocks is one unit of comparison.
+    placed = groups.join(classes, F.col("node") == F.col("s1")).drop("node")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)))
+    big = placed.groupBy("component").agg(needed.alias("blocks")).filter("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    members = placed.join(big, "component", "left").withColumn("blocks", blocks).select(
         "component", "blocks", "doc_id", "tie", "s1", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("at"))
     texts = members.join(keyed, ["doc_id", "tie"])
     if rows.count() > rows.select("doc_id", "tie").distinct().count():  # rows that repeat id and text
