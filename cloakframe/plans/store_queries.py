@@ -41,8 +41,18 @@ def _line_folder(spark: SparkSession, folder: str) -> str:
 
 query("line_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, row_number() OVER (PARTITION BY {_FILE} ORDER BY c_custkey) - 1 AS unit_no, value AS text FROM ({LINE_SQL})")(
     lambda s, d: files.read_lines(s, _line_folder(s, d)).select(_nation(), "unit_no", "text"))
-query("whole_document_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(value || chr(10), '' ORDER BY c_custkey) AS text FROM ({LINE_SQL}) GROUP BY {_FILE}")(
-    lambda s, d: files.read_documents(s, _line_folder(s, d) + "/*/*").select(_nation(), "text"))
+
+
+def _nation_folder(spark: SparkSession, folder: str) -> str:
+    """Customers as lines, one file for all customers of a nation."""
+    path = run_folder(spark)
+    rows = rel(spark, folder, LINES).withColumnRenamed("c_nationkey", "n")
+    rows.repartition("n").sortWithinPartitions("n", "c_custkey").drop("c_custkey").write.partitionBy("n").text(path)
+    return path
+
+
+query("whole_document_source", f"SELECT CAST(c_nationkey AS INTEGER) AS nation, string_agg(value || chr(10), '' ORDER BY c_custkey) AS text FROM ({LINE_SQL}) GROUP BY 1")(
+    lambda s, d: files.read_documents(s, _nation_folder(s, d) + "/*").select(_nation(), "text"))
 
 
 def _tokenized_lines(spark: SparkSession, folder: str) -> DataFrame:
