@@ -136,19 +136,21 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def _drawn(known: DataFrame, per_language: int, seed: str) -> DataFrame | None:
-    """A bounded, hash-drawn sample of each language; None where there is no language."""
+def _drawn(known: DataFrame, per_language: int | None, seed: str) -> DataFrame | None:
+    """A bounded, hash-drawn sample of each language (None: all of it); None where there is no language."""
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
+    if per_language is None:
+        return known
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     return known.filter(C.md5_unit(seed, F.col("doc_id")) < F.get(F.map_values(F.map_filter(shares, lambda k, _: k == F.col("lang"))), F.lit(0)))
 
 
-def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, size: int = PROFILE, seed: str = "lid") -> Profiles:
-    """Profiles from a bounded, hash-drawn sample of the labelled documents that are not held out."""
+def fit(docs: DataFrame, per_language: int | None = DOCS_PER_LANGUAGE, size: int = PROFILE, seed: str = "lid") -> Profiles:
+    """Profiles from the labelled documents that are not held out: a bounded, hash-drawn sample, or all (None)."""
     C.small_batches(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     drawn = _drawn(known, per_language, seed)
@@ -195,18 +197,15 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def floor(docs: DataFrame, profiles: Profiles, per_language: int = DOCS_PER_LANGUAGE, seed: str = "floor") -> float:
+def floor(docs: DataFrame, profiles: Profiles) -> float:
     """The score below which a text is in none of the learned languages.
 
-    Measured on a bounded sample of the held-out documents labelled with a
-    learned language: three quarters of the score that all but a thousandth of
-    them reach.  Without such documents 0, which rejects nothing.
+    Measured on all held-out documents labelled with a learned language: three
+    quarters of the score that all but a thousandth of them reach.  Without such
+    documents 0, which rejects nothing.
     """
-    known = docs.filter(held_out() & F.col("lang").isin(profiles.names) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    drawn = _drawn(known, per_language, seed)
-    if drawn is None:
-        return 0.0
-    scored = identify(drawn.select("text"), profiles).filter(F.col("lang_pred") != UNDECIDED)
+    known = docs.filter(held_out() & F.col("lang").isin(profiles.names) & F.col("text").isNotNull()).select("text")
+    scored = identify(known, profiles).filter(F.col("lang_pred") != UNDECIDED)
     low = scored.agg(F.percentile_approx("score", LOW_SHARE, 100_000)).first()[0]
     return MARGIN * (low or 0.0)
 
