@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import exploded, let
+from ..session import stored
 from . import gazetteer
 from . import spans as S
 from .detect import MODEL_SOURCE
@@ -56,8 +57,8 @@ def word_rows(df: DataFrame, row_id: str, text: str = "text", entities: str | No
 
 
 def fit(samples: DataFrame, row_id: str, features: int = 4096, iterations: int = 20) -> PipelineModel:
-    """Train on annotated samples."""
-    rows = word_rows(samples, row_id, entities="entities")
+    """Train on annotated samples; their features are written once, as training passes over them many times."""
+    rows = stored(word_rows(samples, row_id, entities="entities"))
     stages = [
         FeatureHasher(inputCols=FEATURES, outputCol="features", numFeatures=features, categoricalCols=FEATURES),
         LogisticRegression(maxIter=iterations, regParam=1e-4, family="multinomial"),
