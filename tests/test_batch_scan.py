@@ -3,6 +3,7 @@
 from cloakframe import catalog as C
 from cloakframe.operators import detect as D
 from cloakframe.operators import scan
+from cloakframe.operators import tokenize as T
 
 TEXT = "bank 128683320066 and Account #412868332, born 12/25/1966 é mail a.b@example.org; EMP-0066 token=\"3295c76acbf4caaed33c\" (212) 555-1234 \U0001f600PROJ-0066"
 
@@ -53,3 +54,13 @@ def test_context_reaches_five_words_back_over_any_blanks(spark):
     assert got == {0: 0.65, 1: 0.3, 2: 0.65, 3: 0.65, 4: 0.3, 5: 0.65}
     plain = D.with_rule_spans(rows, rules=[rule], context_words=0, trim="off").filter("id = 0").first()
     assert plain["spans"][0]["score"] == 0.3
+
+
+def test_shared_labels_detect_once(spark):
+    """Rows are read several times for one token per value, but detected once."""
+    rows = spark.createDataFrame([(1, 7, "bank 412345678"), (2, 7, "passport 412345678"), (3, 8, "bank 412345678")], "id int, scope int, text string")
+    for options in ({}, {"in_memory": 0}):
+        made = T.with_shared_labels(T.with_entities(D.with_rule_spans(rows)), ["scope"], "id", **options)
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().optimizedPlan().toString()
+        labels = {r["id"]: r["entities"][0]["label"] for r in made.collect()}
+        assert labels[1] == labels[2] == labels[3] == "BANK"
