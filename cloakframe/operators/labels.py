@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions.arrays import highest_before, let, places
+from ..functions.arrays import highest_before, let, over_batches
 from ..functions.choice import hash_number
 
 TAGS: list[str] = ["O"] + [f"{side}-{label}" for label in C.TAG_LABELS for side in ("B", "I")]
 CHUNKS = "array<struct<label:string,first:int,last:int>>"
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    """Words of a batch of texts, found in their UTF-8 bytes by whole-array steps."""
+    filled = texts.fill_null("").cast(pa.large_string())
+    first = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    held = filled.buffers()[2]
+    data = np.frombuffer(held or b"", np.uint8)[first[0] : first[-1]]
+    first = first - first[0]
+    inside = ~_WHITE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    filled_rows = first[:-1] < first[1:]
+    for edges, at in ((begins, first[:-1][filled_rows]), (ends, first[1:][filled_rows] - 1)):
+        edges[at] = inside[at]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    places = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=places[1:])
+    counts = np.searchsorted(begins, first)
+    shift = np.repeat(places[first[:-1]], np.diff(counts))
+    size = np.zeros(len(begins) + 1, np.int32)
+    np.cumsum(ends - begins, out=size[1:])
+    found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(size.tobytes()), pa.py_buffer(data[inside].tobytes()))
+    made = pa.StructArray.from_arrays([pa.array(places[begins] - shift, pa.int32()), pa.array(places[ends] - shift, pa.int32()), found], ["start", "end", "word"])
+    return pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), made, mask=texts.is_null())
+
+
 def words(text: Column) -> Column:
     """Words (runs without white space) with offsets, as ``array<struct<start,end,word>>``."""
-    parts = F.struct(
-        F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)).alias("w"), F.split(text, r"\S+", -1).alias("g")
-    )
-    found = let(parts, lambda b: places(b["w"], b["g"]))
-    return found.cast("array<struct<start:int,end:int,word:string>>")
+    return over_batches(_words, "array<struct<start:int,end:int,word:string>>", [text.cast("string")], [F.octet_length(text.cast("string"))])
 
 
 def bio_tags(word_spans: Column, entities: Column) -> Column:
