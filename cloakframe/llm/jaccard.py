@@ -273,17 +273,74 @@ def _buckets(rows: DataFrame, small: dict[int, int], limit: int, percent: int) -
     return max(C.partitions(rows.sparkSession), -(-int(light + heavy) // LIST_KEYS))
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Edges that hold the classes of each list together: all to the smallest."""
-    found = [_unpacked(b) for b in table.column("postings").to_pylist()]
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest item that each of ``n`` items reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+class _Reached:
+    """Classes that a task has found linked so far, each with its smallest one; tells which links are new.
+
+    Beyond ``limit`` classes it begins anew, so that links may come again but none is lost.
+    """
+
+    def __init__(self, limit: int = LIST_KEYS):
+        self.limit, self.names, self.root = limit, np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Edges of a forest that links the classes a and b as far as nothing before did."""
+        if len(self.names) > self.limit:
+            self.names, self.root = self.names[:0], self.root[:0]
+        names, at = np.unique(np.concatenate([self.names, a, b]), return_inverse=True)
+        old, a, b = np.split(at, [len(self.names), len(self.names) + len(a)])
+        before = np.arange(len(names))
+        before[old] = old[self.root]
+        root = _roots(len(names), np.concatenate([old, a]), np.concatenate([old[self.root], b]))
+        hung = np.flatnonzero((before == np.arange(len(names))) & (root != before))
+        self.names, self.root = names, root
+        return C.columns_batch(a=names[root[hung]], b=names[hung])
+
+
+def _linked(postings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours in the lists of a bucket."""
+    found = [_unpacked(b) for b in postings]
     keys, owners = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    order = np.lexsort((owners, keys))
+    order = np.argsort(keys, kind="stable")
     keys, owners = keys[order], owners[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    least = np.repeat(owners[edge], np.diff(np.append(edge, len(keys))))
-    other = owners != least
-    pairs = np.unique(np.stack([least[other], owners[other]], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    same = np.flatnonzero((keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1]))
+    pairs = np.unique(np.stack([owners[same], owners[same + 1]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _candidates(listed: DataFrame) -> DataFrame:
+    """Edges (a, b) that hold the classes of each list together.
+
+    A task takes its buckets one by one and makes a forest of them all, so that
+    edges grow with the classes and not with their lists or the pairs in them.
+    """
+
+    def work(batches):
+        reached, current, held = _Reached(), None, []
+        for batch in batches:
+            for bucket, blob in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                if bucket != current and held:
+                    yield reached.add(*_linked(held))
+                    held = []
+                current = bucket
+                held.append(blob)
+        if held:
+            yield reached.add(*_linked(held))
+
+    return listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
 
 
 def forest(n: int, links_of) -> list[tuple[int, int]]:
@@ -349,8 +406,7 @@ def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame
 
     common = _common(keyed, rows.count(), width) if percent < 90 else np.empty(0, np.uint64)
     listed = _postings(keyed, limit, _buckets(rows, sizes, limit, percent), width, percent, common)
-    edges = listed.groupBy("bucket").applyInArrow(_candidates, "a long, b long")
-    groups = C.staged(connected_components(edges))
+    groups = C.staged(connected_components(_candidates(listed)))
 
     # A group larger than a block, in sets or in tokens, is cut; every pair of its blocks is one unit of comparison.
     placed = groups.join(classes, F.col("node") == F.col("s1")).drop("node")
