@@ -266,11 +266,14 @@ def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: i
 
 
 def _buckets(rows: DataFrame, small: dict[int, int], limit: int, percent: int) -> int:
-    """How many buckets the keys of all rows fill; keys of large sets rise with their size."""
+    """How many buckets the keys of all rows fill, one per core at least; keys of large sets rise with their size.
+
+    Each task may name a class once, so buckets are not made more than that.
+    """
     each = heavy_cost(1 << 20, percent) / (1 << 20)
     light = sum(k * light_cost(n, percent) for n, k in small.items() if n <= limit)
     heavy = rows.filter(F.col("n") * 100 > percent * limit).agg(F.sum(F.col("n") * each + 4)).first()[0] or 0
-    return max(C.partitions(rows.sparkSession), -(-int(light + heavy) // LIST_KEYS))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(light + heavy) // LIST_KEYS))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
