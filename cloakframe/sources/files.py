@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, record_title, tokenized_name
 from ..operators import tokenize as T
 from ..operators.skew import running_totals
+from ..session import stored
 from . import jsonlists, schemas
 
 
@@ -68,9 +69,12 @@ def read_json_units(spark: SparkSession, path: str, pattern: str = "*.json") ->
     ``shape`` is ``list``, ``object`` or ``raw``; ``item`` is the item as a
     variant and ``in_object`` says whether the text is a field of it.  Files
     that do not parse end no job; they are the rows of :func:`rejected_json`.
-    One large list is read by many tasks (``jsonlists.json_items``).
+    One large list is read by many tasks (``jsonlists.json_items``).  Items are
+    written to a shared folder (``session.stored``), since the files that do not
+    parse are known only behind them: listing and reading the files costs more.
     """
-    items = jsonlists.json_items(spark, path, pattern).join(jsonlists.rejected_files(spark, path, pattern), "file_path", "left_anti")
+    items = stored(jsonlists.json_items(spark, path, pattern))
+    items = items.join(jsonlists.files_with_bad_items(items), "file_path", "left_anti")
     units = items.withColumn("item_no", F.col("item")).withColumn("item", F.try_parse_json("text")).drop("text")
     item_kind = F.schema_of_variant("item")
     is_object = F.startswith(item_kind, F.lit("OBJECT"))

@@ -153,8 +153,13 @@ def json_items(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
 
 def rejected_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Paths of files that hold no valid JSON; files without a byte are not seen by any scan."""
+    return files_with_bad_items(json_items(spark, path, pattern))
+
+
+def files_with_bad_items(items: DataFrame) -> DataFrame:
+    """Paths of the files among ``json_items`` that hold no valid JSON."""
     bad = ~F.col("closed") | F.try_parse_json("text").isNull()
-    return json_items(spark, path, pattern).filter(bad).select("file_path").distinct()
+    return items.filter(bad).select("file_path").distinct()
 
 
 def file_texts(spark: SparkSession, path: str, pattern: str, wanted: DataFrame) -> DataFrame:

@@ -85,3 +85,13 @@ def test_damaged_and_odd_files(spark, tmp_path, splits, size):
     assert units == {("ok", 0): ("list", None), ("ok", 1): ("list", "a,b"), ("raw", 0): ("raw", '{"a":[1,{"b":","}]}'), ("one", 0): ("object", "x, y"),
                      ("string", 0): ("raw", '"just, text"'), ("number", 0): ("raw", "12")}
     assert tuple(files.json_file_counts(spark, str(tmp_path)).first()) == (len(texts) - 1 - len(bad), len(bad))
+
+
+def test_json_units_read_their_files_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text('["x", {"text": "y"}]')
+    (tmp_path / "b.json").write_text('["x", {')
+    made, plain = [], jsonlists.json_items
+    monkeypatch.setattr(jsonlists, "json_items", lambda *a: made.append(a) or plain(*a))
+    units = files.read_json_units(spark, str(tmp_path))
+    assert [(r["file_name"], r["text"]) for r in units.orderBy("unit_no").collect()] == [("a.json", "x"), ("a.json", "y")]
+    assert len(made) == 1
