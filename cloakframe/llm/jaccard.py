@@ -34,7 +34,9 @@ LARGEST_LIGHT = 64  # the boundary is looked for up to this size
 SAMPLE, COMMON = 8000, 3  # texts in which common tokens are counted, and how many must hold one
 BLOCK = 1500  # sets of a block when a group is compared
 BLOCK_TOKENS = 1 << 20  # and tokens (8 bytes each), of all sets together
-LIST_KEYS = 1 << 20  # keys of a bucket of inverted lists, about 6 MB when packed
+LIST_KEYS = 1 << 22  # keys of a bucket of inverted lists, 22 to 46 MB when packed
+OWNER_BITS = 40  # of a class's signature stand in the lists; classes that share them only meet where sets are compared
+MEMBER_BITS = 1 << 27  # of a table of hashed documents, at most
 _FIRST = -(1 << 63)
 
 
@@ -218,27 +220,45 @@ def _common(keyed: DataFrame, total: int, width: int) -> np.ndarray:
 
 
 def _packed(keys: np.ndarray, owners: np.ndarray) -> bytes:
-    """48 bits of each key, and the owners with how many keys in a row each has."""
+    """40 bits of each key, and 40 of the owners with how many keys in a row (255 at most) each has.
+
+    The more buckets there are, the fewer keys of an owner stand in one, and an
+    owner then takes as much room as a key.
+    """
     edge = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-    counts = np.diff(np.append(edge, len(keys))).astype(np.uint32)
-    head = np.array([len(keys), len(edge)], np.uint32)
-    parts = [head, keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16), owners[edge], counts]
-    return b"".join(x.tobytes() for x in parts)
+    counts = np.diff(np.append(edge, len(keys)))
+    parts = -(-counts // 255)
+    owners, sizes = np.repeat(owners[edge], parts), np.full(int(parts.sum()), 255, np.uint8)
+    sizes[np.cumsum(parts) - 1] = counts - 255 * (parts - 1)
+    wide = len(owners) > 0 and (owners.min() < 0 or owners.max() >> OWNER_BITS > 0)
+    names = [owners] if wide else _halves(owners.view(np.uint64))
+    head = np.array([len(keys), len(owners), wide], np.uint32)
+    return b"".join(x.tobytes() for x in (head, sizes, *_halves(keys), *names))
+
+
+def _halves(x: np.ndarray) -> list[np.ndarray]:
+    """The low 40 bits of numbers."""
+    return [x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)]
+
 
+def _whole(blob: bytes, size: int, at: int) -> np.ndarray:
+    """Numbers whose :func:`_halves` stand at a place."""
+    return np.frombuffer(blob, np.uint8, size, at + 4 * size).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, np.uint32, size, at)
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, np.uint32, 2).tolist()
-    keys = np.frombuffer(blob, np.uint32, n, 8).astype(np.uint64)
-    keys |= np.frombuffer(blob, np.uint16, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32)
-    owners = np.frombuffer(blob, np.int64, m, 8 + 6 * n)
-    return keys, np.repeat(owners, np.frombuffer(blob, np.uint32, m, 8 + 6 * n + 8 * m))
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners and how many keys in a row each owner has."""
+    n, m, wide = np.frombuffer(blob, np.uint32, 3).tolist()
+    at = 12 + m
+    owners = np.frombuffer(blob, np.int64, m, at + 5 * n) if wide else _whole(blob, m, at + 5 * n).view(np.int64)
+    return _whole(blob, n, at), owners, np.frombuffer(blob, np.uint8, m, 12)
 
 
 def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """(bucket, postings): keys and classes, each class once per task."""
 
     def work(batches):
-        seen = set()
+        seen, low = set(), (1 << OWNER_BITS) - 1
         for batch in batches:
             keys, owners = [], []
             for _, tokens in _sets(batch, 2, width):
@@ -248,10 +268,10 @@ def _postings(keyed: DataFrame, limit: int, buckets: int, width: int, percent: i
                 seen.add(sig)
                 if len(tokens) <= limit:
                     keys.append(light_keys(tokens, percent))
-                    owners.append(np.full(len(keys[-1]), sig[0], np.int64))
+                    owners.append(np.full(len(keys[-1]), sig[0] & low, np.int64))
                 if 100 * len(tokens) > percent * limit:
                     keys.append(heavy_keys(tokens, percent, common))
-                    owners.append(np.full(len(keys[-1]), sig[0], np.int64))
+                    owners.append(np.full(len(keys[-1]), sig[0] & low, np.int64))
             if keys:
                 keys, owners = np.concatenate(keys), np.concatenate(owners)
                 where = ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
@@ -316,12 +336,23 @@ class _Reached:
 def _linked(postings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours in the lists of a bucket."""
     found = [_unpacked(b) for b in postings]
-    keys, owners = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    order = np.argsort(keys, kind="stable")
-    keys, owners = keys[order], owners[order]
-    same = np.flatnonzero((keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1]))
-    pairs = np.unique(np.stack([owners[same], owners[same + 1]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    names, which = np.unique(np.concatenate([f[1] for f in found]), return_inverse=True)
+    # A key and the number of its owner in one word, so that a sort in place is all that a bucket takes.
+    shift = np.uint64(max(24, len(names).bit_length()))
+    low = (np.uint64(1) << shift) - np.uint64(1)
+    words, at, run = np.empty(sum(len(f[0]) for f in found), np.uint64), 0, 0
+    while found:
+        keys, owners, counts = found.pop(0)
+        words[at : at + len(keys)] = keys << shift | np.repeat(which[run : run + len(owners)], counts).astype(np.uint64)
+        at, run = at + len(keys), run + len(owners)
+    words.sort()
+    pairs = []
+    for at in range(0, len(words), 1 << 18):
+        part = words[at : at + (1 << 18) + 1]
+        same = np.flatnonzero((part[1:] >> shift == part[:-1] >> shift) & (part[1:] != part[:-1]))
+        pairs.append(np.unique(np.stack([part[same], part[same + 1]], 1) & low, axis=0))
+    pairs = np.unique(np.concatenate(pairs), axis=0).astype(np.int64)
+    return names[pairs[:, 0]], names[pairs[:, 1]]
 
 
 def _candidates(listed: DataFrame) -> DataFrame:
@@ -364,11 +395,12 @@ def forest(n: int, links_of) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(table: pa.Table, percent: int) -> pa.Table:
+def _verified(table: pa.Table, width: int, percent: int) -> pa.Table:
     """Edges between classes of two blocks (or inside one) whose sets are similar."""
     names = table.column("class").to_pylist()
     half = np.asarray(table.column("half").combine_chunks())
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+    texts = pa.array([C.restored(x) for x in table.column("text").to_pylist()], pa.large_binary())
+    sets = [tokens for _, _, data, offsets in C.chunked(texts) for tokens in shingle_sets(data, offsets, width)]
     n = np.array([len(x) for x in sets])
     ends = np.cumsum(n)
     _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
@@ -392,6 +424,37 @@ def _verified(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _texts_of(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, tie, text) of rows that may be members, squeezed: all of them, and a sixteenth of the others.
+
+    A bounded table of hashed members goes to every task, so that only their texts are shuffled.
+    """
+    bits = min(MEMBER_BITS, 1 << max(16, (16 * members.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(bits))
+
+    def page(table: pa.Table) -> pa.Table:
+        held = np.zeros(1 << 16, np.uint8)
+        slots = np.asarray(table.column("slot").combine_chunks())
+        held[slots & 0xFFFF] = 1
+        return pa.table({"page": pa.array([int(slots[0]) >> 16], pa.int64()), "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    whole = np.zeros(bits >> 3, np.uint8)
+    slots = members.select(slot.alias("slot")).withColumn("page", F.shiftright("slot", 16))
+    for row in slots.groupBy("page").applyInArrow(page, "page long, held binary").collect():
+        whole[row["page"] << 13 : (row["page"] + 1) << 13] = np.frombuffer(row["held"], np.uint8)
+    table = keyed.sparkSession.sparkContext.broadcast(whole)
+
+    def work(batches):
+        for batch in batches:
+            slots = np.asarray(batch.column(3))
+            keep = np.flatnonzero(table.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1)
+            ids, ties, texts = (batch.column(k).take(pa.array(keep)) for k in range(3))
+            texts = pa.array([C.squeezed(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+            yield C.columns_batch(doc_id=ids, tie=ties, text=texts)
+
+    return keyed.select("doc_id", "tie", "text", slot.alias("slot")).mapInArrow(work, "doc_id long, tie long, text binary")
+
+
 def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame:
     """Id, tie (hash of the text) and set size of every row, with the smallest id and tie of its group.
 
@@ -412,27 +475,20 @@ def _grouped(docs: DataFrame, block: int, width: int, percent: int) -> DataFrame
     groups = C.staged(connected_components(_candidates(listed)))
 
     # A group larger than a block, in sets or in tokens, is cut; every pair of its blocks is one unit of comparison.
-    placed = groups.join(classes, F.col("node") == F.col("s1")).drop("node")
+    placed = groups.join(classes, F.col("node") == F.col("s1").bitwiseAND(F.lit((1 << OWNER_BITS) - 1))).drop("node")
     needed = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)))
     big = placed.groupBy("component").agg(needed.alias("blocks")).filter("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    members = placed.join(big, "component", "left").withColumn("blocks", blocks).select(
-        "component", "blocks", "doc_id", "tie", "s1", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("at"))
-    texts = members.join(keyed, ["doc_id", "tie"])
+    members = C.staged(placed.join(big, "component", "left").withColumn("blocks", blocks).select(
+        "component", "blocks", "doc_id", "tie", "s1", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("at")))
+    texts = members.join(_texts_of(keyed, members), ["doc_id", "tie"])
     if rows.count() > rows.select("doc_id", "tie").distinct().count():  # rows that repeat id and text
         texts = texts.dropDuplicates(["doc_id", "tie"])
-
-    def tokens(batches):
-        for batch in batches:
-            found = pa.array([s.tobytes() for _, s in _sets(batch, 4, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=["component", "blocks", "at", "class", "tokens"])
-
-    listed = C.staged(texts.select("component", "blocks", "at", F.col("s1").alias("class"), "text").mapInArrow(
-        tokens, "component long, blocks long, at long, class long, tokens binary"))
+    # Texts travel squeezed, a third of the size of their sets or less, and sets are made where they are compared.
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    paired = listed.select("*", other.alias("other")).select(
-        "component", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "class", (F.col("at") > F.col("other")).cast("int").alias("half"), "tokens")
-    verified = paired.groupBy("component", "low", "high").applyInArrow(lambda table: _verified(table, percent), "a long, b long")
+    paired = texts.select("*", other.alias("other")).select(
+        "component", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), F.col("s1").alias("class"), (F.col("at") > F.col("other")).cast("int").alias("half"), "text")
+    verified = paired.groupBy("component", "low", "high").applyInArrow(lambda table: _verified(table, width, percent), "a long, b long")
     linked = connected_components(verified)
 
     named = classes.join(linked, F.col("s1") == F.col("node"), "left").withColumn("group", F.coalesce("component", "s1"))
