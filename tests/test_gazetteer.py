@@ -87,3 +87,27 @@ def test_names_are_tokenized_beside_rules(spark):
     assert [e["label"] for e in row["entities"]] == ["EMAIL", "PERSON", "LOCATION", "PERSON"] and "Ann Lee" not in row["tokenized"] and "Oslo" not in row["tokenized"]
     assert D.MODEL_SOURCE in {e["source"] for e in row["entities"]}
     assert docs.select(F.count("*")).first()[0] == 1
+
+
+def test_what_a_join_moves_is_a_row_for_a_phrase_and_part_not_for_a_place(spark, monkeypatch):
+    """Every run of one to three words of every text was a row."""
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df: written.append(df.localCheckpoint()) or written[0])
+    docs = spark.createDataFrame([(i, "ann lee met ann in oslo, far away; " * 40) for i in range(50)], "id long, text string").repartition(1)
+    phrases = spark.createDataFrame([("Ann Lee", "PERSON", 0.9), ("oslo", "LOCATION", 0.9), ("ann", "NRP", 0.9)], TABLE)
+    got = found(G.with_phrases(docs, phrases, row_id="id", limit=0))
+    assert got == found(G.with_phrases(docs, phrases))
+    rows = written[0].collect()
+    assert len(rows) < 20 and sum(len(r["places"]) for r in rows) < 3 * sum(map(len, got.values()))
+
+
+def test_ids_that_repeat_or_are_null_and_packed_numbers(spark):
+    docs = spark.createDataFrame([(1, "ann in oslo"), (1, "ann in oslo"), (None, "oslo"), (2, None)], "id long, text string")
+    phrases = spark.createDataFrame([("oslo", "LOCATION"), ("ann", "PERSON")], "phrase string, label string")
+    made = G.with_phrases(docs, phrases, row_id="id", limit=0).collect()
+    two = [(0, 3, "PERSON"), (7, 11, "LOCATION")]
+    assert sorted((str(r["id"]), [(p["start"], p["end"], p["label"]) for p in r["pieces"]]) for r in made) == [("1", two), ("1", two), ("2", []), ("None", [])]
+    rows = G.phrase_rows(docs, phrases, "id").collect()
+    assert sorted((str(r["id"]), r["start"], r["label"]) for r in rows) == [("1", 0, "PERSON"), ("1", 7, "LOCATION"), ("None", 0, "LOCATION")]
+    for top in (0, 255, 256, 1 << 20):
+        assert G._large(G._small(np.array([3, top, 0]))).tolist() == [3, top, 0]
